@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .near_dup import op9_minhash_near_dedup
+from .passages import op6_fuzzy_passages
+from .toxicity import op5_toxicity_ordinal
 
-QUERIES = {f.__name__: f for f in (op9_minhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op5_toxicity_ordinal, op6_fuzzy_passages, op9_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
