@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from . import decontam
+from .decontam import op10_wu_manber_decontamination
 from .near_dup import op9_minhash_near_dedup
 from .passages import op6_fuzzy_passages
 from .toxicity import op5_toxicity_ordinal
 
-QUERIES = {f.__name__: f for f in (op5_toxicity_ordinal, op6_fuzzy_passages, op9_minhash_near_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_toxicity_ordinal, op6_fuzzy_passages, op9_minhash_near_dedup, op10_wu_manber_decontamination)}
+ORACLE_SQL = {"op10_wu_manber_decontamination": decontam.SQL}
