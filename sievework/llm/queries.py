@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from . import decontam
 from .decontam import op10_wu_manber_decontamination
+from .katz import op8_katz_backoff
 from .mixing import op4_mixing
 from .near_dup import op9_minhash_near_dedup
 from .passages import op6_fuzzy_passages
 from .toxicity import op5_toxicity_ordinal
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_toxicity_ordinal, op6_fuzzy_passages, op9_minhash_near_dedup, op10_wu_manber_decontamination)}
+QUERIES = {f.__name__: f for f in (op4_mixing, op5_toxicity_ordinal, op6_fuzzy_passages, op8_katz_backoff, op9_minhash_near_dedup, op10_wu_manber_decontamination)}
 ORACLE_SQL = {"op10_wu_manber_decontamination": decontam.SQL}
