@@ -160,10 +160,12 @@ def lists(values: np.ndarray, lo: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset (tests on one
-    machine) a temporary folder is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary folder is set for a
+    session on one machine (tests), and anything else is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="scratch-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -202,7 +204,15 @@ class Scratch:
             self._fs(path).delete(path, True)
 
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with as many underscores as it takes for df to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, buffer_of, col, grams, ints, lists, mix, read, slices, small_side, words_of
+from .common import U64, Scratch, buffer_of, col, free_name, grams, ints, lists, mix, read, slices, small_side, words_of
 from .graph import components
 
 SHINGLE, SIDE, DEPTH, THRESHOLD = 3, 16, 3, 0.6
@@ -166,8 +166,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
 
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents of a group other than its keeper; columns and other rows as they are."""
-    gone = near_duplicates(spark, docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(small_side(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(spark, docs, threshold).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(small_side(gone), docs["doc_id"] == F.col(name), "left_anti")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

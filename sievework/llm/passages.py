@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, buffer_of, col, grams, ints, mix, read, slices, small_side, words_of
+from .common import U64, Scratch, Words, buffer_of, col, free_name, grams, ints, mix, read, slices, small_side, words_of
 
 K, WINDOW = 5, 8
 GAP_COST, MAX_GAP = 0.1, 40
@@ -244,18 +244,19 @@ def cut_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with every shared passage cut from all documents but its source, n_chars (if there) set anew.
 
     Documents of which no word is left go; all others stay, untouched ones as they are."""
+    key, cuts, new = (free_name(docs, c) for c in ("_cut_id", "_spans", "_new"))
     found = shared_passages(spark, docs)
-    spans = found.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.collect_list(F.struct("first_word", "end_word")).alias("_spans"))
+    spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("first_word", "end_word")).alias(cuts))
     with Scratch(spark) as sc:
         spans = sc.result(spans)
     spans = small_side(spans)
-    rest = docs.join(spans.select("_cut_id"), docs["doc_id"] == F.col("_cut_id"), "left_anti")
-    new = docs.join(spans, docs["doc_id"] == F.col("_cut_id")).withColumn("_new", F.arrow_udf(_cut, "string")(docs["text"], F.col("_spans"))).where("_new is not null")
+    rest = docs.join(spans.select(key), docs["doc_id"] == F.col(key), "left_anti")
+    changed = docs.join(spans, docs["doc_id"] == F.col(key)).withColumn(new, F.arrow_udf(_cut, "string")(docs["text"], F.col(cuts))).where(F.col(new).isNotNull())
     names = {c.lower() for c in ("text", "n_chars")}
-    value = {"text": F.col("_new"), "n_chars": F.length("_new")}
+    value = {"text": F.col(new), "n_chars": F.length(new)}
     cast = dict(docs.dtypes)
     shown = [value[c.lower()].cast(cast[c]).alias(c) if c.lower() in names else F.col(f"`{c}`") for c in docs.columns]
-    return rest.unionByName(new.select(*shown))
+    return rest.unionByName(changed.select(*shown))
 
 
 def op6_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def sample_of(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: st
     left out; of several labels of a document the greatest counts."""
     some = labels.where(f"doc_id is not null and {label} is not null").groupBy(F.col("doc_id").cast("long").alias("_l")).agg(F.max(label).cast("int").alias("_y"))
     some = some.orderBy(F.xxhash64("_l", F.lit(5)), "_l").limit(limit)
-    return docs.join(small_side(some, limit), docs["doc_id"] == F.col("_l")).select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("text"), F.col("_y").alias(label), *[docs[c].alias(c) for c in extra])
+    return docs.join(small_side(some, limit), docs["doc_id"] == some["_l"]).select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("text"), some["_y"].alias(label), *[docs[c].alias(c) for c in extra])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
