@@ -7,6 +7,7 @@ are computed for a whole Arrow slice at once, so no Python code runs per word or
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -132,6 +133,22 @@ def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(g[inside]), lo
 
 
+_libc = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give memory that is free back to the system: Python workers stay for the next task, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def each_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as they are; memory is released after the last."""
+    yield from batches
+    release()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about limit bytes of text, or one longer document."""
     for batch in batches:
@@ -142,6 +159,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             j = max(j, i + 1)
             yield batch.slice(i, j - i)
             i = j
+        del batch, size
+    release()
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:

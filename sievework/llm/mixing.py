@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, buffer_of, col, ints, mix, read, slices, small_side, span_hash
+from .common import U64, Scratch, buffer_of, col, each_of, ints, mix, read, slices, small_side, span_hash
 
 LENGTH, SHARD, SEED = 1024, 256, 4
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -191,7 +191,7 @@ def _split(length: int):
     """Cut documents at the block borders of their source's stream."""
 
     def run(batches):
-        for b in batches:
+        for b in each_of(batches):
             rows = [[], [], [], [], []]
             for d, s, start, ids in zip(ints(b, "_id"), col(b, "source").to_pylist(), ints(b, "start"), col(b, "ids"), strict=True):
                 raw = ids.as_py()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, buffer_of, col, free_name, grams, ints, lists, mix, read, slices, small_side, words_of
+from .common import U64, Scratch, buffer_of, col, each_of, free_name, grams, ints, lists, mix, read, slices, small_side, words_of
 from .graph import components
 
 SHINGLE, SIDE, DEPTH, THRESHOLD = 3, 16, 3, 0.6
@@ -100,7 +100,7 @@ def _sets(batches):
 def _compare(batches):
     """Rows sorted by pivot and salt, the pivot's own row first."""
     key, own = None, np.zeros(0, np.uint64)
-    for b in batches:
+    for b in each_of(batches):
         out_a, out_b, out_j = [], [], []
         for a, salt, m, s in zip(ints(b, "a"), ints(b, "salt"), ints(b, "m"), col(b, "s").to_pylist(), strict=True):
             s = np.frombuffer(s, np.uint64)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, buffer_of, col, free_name, grams, ints, mix, read, slices, small_side, words_of
+from .common import U64, Scratch, Words, buffer_of, col, each_of, free_name, grams, ints, mix, read, slices, small_side, words_of
 
 K, WINDOW = 5, 8
 GAP_COST, MAX_GAP = 0.1, 40
@@ -104,7 +104,7 @@ def chains(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, weight: int
 
 
 def _chain(batches):
-    for b in batches:
+    for b in each_of(batches):
         rows = {k: [] for k in ("a", "b", "n", "xa", "xb")}
         for a, d, m in zip(ints(b, "a"), ints(b, "b"), col(b, "m"), strict=True):
             x, y = (m.values.field(f).to_numpy().astype(np.int64) for f in (0, 1))
@@ -176,7 +176,7 @@ def align(p: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[i
 
 def _align(batches):
     names = ["doc_id", "first_word", "end_word", "source_doc_id", "source_first_word", "source_end_word", "identity"]
-    for b in batches:
+    for b in each_of(batches):
         rows = [[] for _ in names]
         for r in b.to_pylist():
             p, q = (np.frombuffer(r[k], np.uint32) for k in ("ha", "hb"))
