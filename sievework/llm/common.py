@@ -149,7 +149,7 @@ def each_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about limit bytes of text, or one longer document."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -190,6 +190,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 class Scratch:
     """Written tables that cut lineage. Those of table() go at the end of the with block, those of
     result() when the session's file system is closed."""
@@ -198,6 +202,9 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Scratch:
+        """While the tables are written, a batch that goes to Python holds about BATCH_BYTES, whatever the length of the texts."""
+        self.before = self.spark.conf.get(_BATCH, None)
+        self.spark.conf.set(_BATCH, str(BATCH_BYTES))
         return self
 
     def _write(self, df: DataFrame, *partition: str) -> tuple[DataFrame, object]:
@@ -219,6 +226,10 @@ class Scratch:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def __exit__(self, *_) -> None:
+        if self.before is None:
+            self.spark.conf.unset(_BATCH)
+        else:
+            self.spark.conf.set(_BATCH, self.before)
         for path in self.paths:
             self._fs(path).delete(path, True)
 

@@ -108,7 +108,7 @@ def encoder(path: str) -> Encoder:
 def _tokenise(path: str, end: int):
     def run(batches):
         enc = encoder(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 18):
             ids, lo = enc(col(b, "text"))
             mark = np.array([end], np.uint16).tobytes()
             out = [ids[lo[i] : lo[i + 1]].tobytes() + mark if lo[i + 1] > lo[i] else None for i in range(b.num_rows)]
