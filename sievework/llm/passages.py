@@ -251,7 +251,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
         spans = sc.result(spans)
     spans = small_side(spans)
     rest = docs.join(spans.select(key), docs["doc_id"] == F.col(key), "left_anti")
-    changed = docs.join(spans, docs["doc_id"] == F.col(key)).withColumn(new, F.arrow_udf(_cut, "string")(docs["text"], F.col(cuts))).where(F.col(new).isNotNull())
+    once = F.arrow_udf(_cut, "string").asNondeterministic()  # else it runs for the filter and again for the columns
+    changed = docs.join(spans, docs["doc_id"] == F.col(key)).withColumn(new, once(docs["text"], F.col(cuts))).where(F.col(new).isNotNull())
     names = {c.lower() for c in ("text", "n_chars")}
     value = {"text": F.col(new), "n_chars": F.length(new)}
     cast = dict(docs.dtypes)
