@@ -187,7 +187,10 @@ def one_class_presence_events(spark: SparkSession, sf: str) -> DataFrame:
     return _r(P.one_class_presence(_gap_events(spark, sf), F.col("y"), list("abcde")), "present1", "present0")
 
 
-@query("select 'copy' as \"column\", 'c_acctbal' first_column union all select 'again', 'c_mktsegment'")
+_DUP = "with t as (select *, c_acctbal copy, c_mktsegment || '' again, case when c_custkey > 1 then c_acctbal end near from customer) select \"column\", first_column from ("
+
+
+@query(_DUP + " union all ".join(f"select '{b}' as \"column\", '{a}' first_column, bool_and({a} is not distinct from {b}) ok from t" for a, b in (("c_acctbal", "copy"), ("c_acctbal", "near"), ("copy", "near"), ("c_name", "c_mktsegment"), ("c_name", "again"), ("c_mktsegment", "again"))) + ") where ok")
 def duplicate_columns_customer(spark: SparkSession, sf: str) -> DataFrame:
     df = _t(spark, sf, "customer").withColumn("copy", F.col("c_acctbal")).withColumn("again", F.concat("c_mktsegment", F.lit(""))).withColumn("near", F.when(F.col("c_custkey") > 1, F.col("c_acctbal")))
     return spark.createDataFrame(list(P.duplicate_columns(df).items()), "`column` string, first_column string")
@@ -463,7 +466,10 @@ def pairwise_part(spark: SparkSession, sf: str) -> DataFrame:
     return _r(R.pairwise(_t(spark, sf, "part"), {"p_partkey": "count", "p_retailprice": "continuous", "p_size": "count", "p_brand": "nominal", "p_type": "nominal"}), "score")
 
 
-@query("select 'c_acctbal' representative, 'twice' member union all select 'c_acctbal', 'c_acctbal' union all select 'c_mktsegment', 'c_mktsegment' union all select 'c_mktsegment', 'code'")
+_TWIN = "(select c_acctbal, c_nationkey, c_mktsegment, c_acctbal * 2 twice, md5(c_mktsegment) code from customer)"
+
+
+@query("with e as (select a, b from (" + _rho(_TWIN, "c_acctbal", "twice") + " union all " + _rho(_TWIN, "c_acctbal", "c_nationkey") + " union all " + _rho(_TWIN, "c_nationkey", "twice") + ") where score >= 0.95 union all select 'c_mktsegment', 'code' from (" + _chi_sql(_TWIN, "c_mktsegment", "code", _BERGSMA) + ") where effect >= 0.95) select a representative, a member from e union all select a, b from e")
 def redundant_groups_customer(spark: SparkSession, sf: str) -> DataFrame:
     df = _t(spark, sf, "customer").withColumn("twice", F.col("c_acctbal") * 2).withColumn("code", F.md5("c_mktsegment"))
     types = {"c_acctbal": "continuous", "twice": "continuous", "c_nationkey": "count", "c_mktsegment": "nominal", "code": "nominal"}
@@ -485,7 +491,15 @@ def future_timestamps_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return L.future_timestamps(j, F.col("o_orderdate"), ["o_orderdate"])
 
 
-@query("select 'F' part, \"column\", 'perfect-separation' detector, 'direct' ltype, e evidence from (values ('hit', 'pure level'), ('mark', 'AUC 1.000')) t(\"column\", e)")
+_SPLIT = (
+    f"with t as (select {_F01} y, case when {_F01} = 1 then 'done' else o_orderpriority end hit, o_orderpriority, cast(o_custkey as double) o_custkey, o_totalprice + {_F01} * 1e9 mark from orders), "
+    + "l as (select 'hit' c, hit v, count(*) n, avg(y) m from t group by hit union all select 'o_orderpriority', o_orderpriority, count(*), avg(y) from t group by o_orderpriority), "
+    + "a as (" + _auc_sql("t", ["mark", "o_custkey"], "y") + "), f as (select distinct c, 'pure level' e from l where n >= 5 and m in (0, 1) union all select feature, printf('AUC %.3f', effect) from a where effect >= 0.999) "
+    + "select 'F' part, c as \"column\", 'perfect-separation' detector, 'direct' ltype, e evidence from f"
+)
+
+
+@query(_SPLIT)
 def separation_orders(spark: SparkSession, sf: str) -> DataFrame:
     y = F.expr(_F01)
     df = _t(spark, sf, "orders").withColumn("hit", F.when(y == 1, F.lit("done")).otherwise(F.col("o_orderpriority"))).withColumn("mark", F.col("o_totalprice") + y * 1e9)
@@ -512,7 +526,7 @@ def effect_backstop_nation(spark: SparkSession, sf: str) -> DataFrame:
 _SIGNALS = [("C", "a_score", "target-like-name", "direct", ""), ("F", "a_score", "effect-above-backstop", "direct", ""), ("F", "b", "effect-above-backstop", "direct", ""), ("D", "c", "missingness-predicts-target", "execution", ""), ("F", "c", "outlier-effect-vs-peers", "direct", ""), ("F", "c", "outlier-effect-vs-peers", "direct", ""), ("D", "d", "future-timestamp", "future", "")]
 
 
-@query("select * from (values ('a_score', 'target-like-name:direct (+1)'), ('c', 'missingness-predicts-target:execution (+1)'), ('d', 'future-timestamp:future')) t(\"column\", leak)")
+@query("with s(part, c, d, l, e, seq) as (values " + ", ".join(str((*r, i)) for i, r in enumerate(_SIGNALS)) + f"), g as (select c, count(distinct d) k, bool_or(d in {L.STRONG}) strong from s group by c), f as (select distinct on (c) c, d, l from s order by c, d in {L.STRONG} desc, seq) select c as \"column\", d || ':' || l || case when k > 1 then ' (+' || (k - 1) || ')' else '' end leak from g join f using (c) where strong or k > 1")
 def adjudicate_signals(spark: SparkSession, sf: str) -> DataFrame:
     return L.adjudicate(spark.createDataFrame([(*r, i) for i, r in enumerate(_SIGNALS)], L.SIGNAL + ", seq int"))
 
