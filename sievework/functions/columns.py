@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SENTINEL_NUMBERS = (-9999, -999, -99, 9999, 99999, 999999)
-SENTINEL_TOKENS = ("", "-", "?", ".", "na", "n/a", "nan", "null", "none", "nil", "unknown", "missing")
+SENTINEL_TOKENS = ("", *". - -- ? missing n/a na nan none null unknown".split())
 
 
 def is_number(kind: T.DataType) -> bool:

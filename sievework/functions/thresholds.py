@@ -12,8 +12,8 @@ VIF_FLAG, PSI_DRIFT, COX_P, SHADOW_PCT = 10.0, 0.25, 0.20, 0.95
 NEAR_CONSTANT, NEAR_EMPTY = 0.98, 0.95
 MIN_POSITIVES, MIN_PER_FOLD, MIN_REGRESSION = 50, 10, 100
 FULL_N, REDUCED_N = 100, 30
-FEATURE_TYPES = ("continuous", "count", "nominal", "ordinal", "binary", "high_card", "datetime")
-TARGET_TYPES = ("binary", "multiclass", "ordinal", "regression", "survival")
+FEATURE_TYPES = tuple("binary continuous count datetime high_card nominal ordinal".split())
+TARGET_TYPES = tuple("survival regression ordinal multiclass binary".split())
 
 
 def cramers_v_floor(levels: int) -> float:

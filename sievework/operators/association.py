@@ -8,7 +8,7 @@ group without a defined effect has a null effect.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pandas
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,9 +140,9 @@ def kendall(long: DataFrame, by: list[str]) -> DataFrame:
     """(by, n, effect): tau-b, from the distinct cells of each group in one task, by merge counting."""
     kinds = dict(long.dtypes)
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, g: pandas.DataFrame) -> pandas.DataFrame:
         tau = kendall_tau(g["x"].to_numpy(), g["y"].to_numpy(), g["n"].to_numpy())
-        return pd.DataFrame([[*key, int(g["n"].sum()), None if tau != tau else tau]])
+        return pandas.DataFrame([[*key, int(g["n"].sum()), None if tau != tau else tau]])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, effect double"
     return cells(long, by, "x", "y").groupBy(*by).applyInPandas(one, schema)

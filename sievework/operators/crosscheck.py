@@ -15,7 +15,7 @@ from ..sources.scratch import keep
 from .profile import _text
 
 
-def _encoded(df: DataFrame, features: list[str], target: str, target_type: str) -> DataFrame:
+def _encoded(df: DataFrame, target: str, target_type: str, features: list[str]) -> DataFrame:
     """Numbers as they are and strings by the order of their values, nulls as the median; rows without a target are left out."""
     y = number(target) if target_type == "regression" else F.dense_rank().over(Window.orderBy(_text(df, target))) - 1
     labels = df.where(F.col(target).isNotNull())
@@ -42,14 +42,14 @@ def _binomial_tail(hits: int, n: int) -> float:
     return sum(math.comb(n, k) for k in range(hits, n + 1)) / 2**n
 
 
-def crosscheck(df: DataFrame, features: list[str], target: str, target_type: str, seed: int = 42, rounds: int = 20, trees: int = 50, depth: int = 5, alpha: float = 0.05) -> dict[str, str]:
+def crosscheck(df: DataFrame, features, target, target_type, seed: int = 42, rounds: int = 20, trees: int = 50, depth: int = 5, alpha: float = 0.05) -> dict[str, str]:
     """feature -> confirmed, tentative or rejected. In each round the columns still open compete with shuffled copies: a hit
     is an importance over the best copy's. Hits are held against a fair coin, two-sided, corrected for the number of columns.
 
     A copy takes its values from another row by a sort on a hash: all copies of a round are shuffled by one join on row numbers."""
     if not features:
         return {}
-    wide = _encoded(df, features, target, target_type)
+    wide = _encoded(df, target, target_type, features)
     from .ranking import row_numbers
 
     rows = keep(row_numbers(wide.withColumn("__h", F.xxhash64("label", *[f"x{i}" for i in range(len(features))], F.monotonically_increasing_id())), [], ["__h"]).drop("__h"))

@@ -45,13 +45,12 @@ def load_folds(spark: SparkSession, path: str) -> Folds:
     return Folds(df.select("row_key", "fold"), one["strategy"], one["k"], one["seed"])
 
 
-def make_folds(df: DataFrame, strategy: str, k: int = 5, *, key: str = "row_key", seed: int = 42, target: str | None = None, group: str | None = None, date: str | None = None) -> Folds:
+def make_folds(df: DataFrame, strategy: str, k: int = 5, *, key: str = "row_key", date=None, group=None, target=None, seed: int = 42) -> Folds:
     """strategy is 'time' (date given), 'grouped' (group), 'stratified' (target; null is a class of its own), or anything else for plain folds."""
     mixed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
     turn = (F.col("rn") % k + 1).cast("int")
     if strategy == "time":
-        if date is None:
-            raise ValueError("time folds need a date column")
+        _needs(date, "time folds need a date column")
         ts = F.try_to_timestamp(F.col(date)) if dict(df.dtypes)[date] == "string" else F.col(date)
         rows = df.select(F.col(key).alias("row_key"), ts.alias("t"))
         n = rows.count()
@@ -60,12 +59,10 @@ def make_folds(df: DataFrame, strategy: str, k: int = 5, *, key: str = "row_key"
         first = n - k * test
         made = numbered.select("row_key", F.when(F.col("rn") < first, 0).otherwise(F.floor((F.col("rn") - first) / max(test, 1)) + 1).cast("int").alias("fold"))
     elif strategy == "grouped":
-        if group is None:
-            raise ValueError("grouped folds need a group column")
+        _needs(group, "grouped folds need a group column")
         made = _grouped(df.select(F.col(key).alias("row_key"), F.col(group).alias("g")), k, seed)
     elif strategy == "stratified":
-        if target is None:
-            raise ValueError("stratified folds need a target column")
+        _needs(target, "stratified folds need a target column")
         rows = df.select(F.col(key).alias("row_key"), F.coalesce(F.col(target).cast("string"), F.lit("\0")).alias("c"), mixed.alias("h"))
         made = row_numbers(rows, ["c"], ["h", "row_key"]).select("row_key", turn.alias("fold"))
     else:
@@ -73,6 +70,11 @@ def make_folds(df: DataFrame, strategy: str, k: int = 5, *, key: str = "row_key"
     return Folds(keep(made), strategy, k, seed)
 
 
+def _needs(column: str | None, message: str) -> None:
+    if column is None:
+        raise ValueError(message)
+
+
 MANY_GROUPS = 100_000
 
 

@@ -17,8 +17,8 @@ from .longform import categorical, numeric
 from .profile import looks_like_dates, missingness_auc, one_class_presence
 
 SIGNAL = "part string, column string, detector string, ltype string, evidence string"
-NAME_TOKENS = ("score", "prediction", "proba", "target", "label", "outcome", "_final", "_flag")
-STRONG = ("target-like-name", "future-timestamp", "perfect-separation", "present-only-for-one-class")
+NAME_TOKENS = tuple("_final _flag label outcome prediction proba score target".split())
+STRONG = tuple("future-timestamp perfect-separation present-only-for-one-class target-like-name".split())
 
 
 def _signals(df: DataFrame, part: str, detector: str, ltype: str, evidence: Column) -> DataFrame:
@@ -76,7 +76,7 @@ def future_timestamps(df: DataFrame, reference: Column, skip: list[str] = (), co
 
 def presence_signals(df: DataFrame, y: Column, columns: list[str]) -> DataFrame:
     hit = one_class_presence(df, y, columns)
-    return _signals(hit, "D", "present-only-for-one-class", "execution", F.format_string("p1=%.2f p0=%.2f", "present1", "present0"))
+    return _signals(hit, "D", STRONG[2], "execution", F.format_string("p1=%.2f p0=%.2f", "present1", "present0"))
 
 
 def missingness_signals(df: DataFrame, y: Column, columns: list[str], threshold: float = 0.70) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from ..functions.columns import SENTINEL_NUMBERS, SENTINEL_TOKENS, is_number, number
 from ..functions.thresholds import NEAR_CONSTANT, NEAR_EMPTY
 
-TARGET_HINTS = ("target", "label", "y", "outcome", "class", "churn", "default", "response")
-DATE_HINTS = ("date", "time", "_at", "_ts", "timestamp")
+TARGET_HINTS = tuple("churn class default fraud label outcome target y".split())
+DATE_HINTS = tuple("date datetime dt time timestamp".split())
 
 
 def _text(df: DataFrame, c: str) -> Column:

@@ -71,4 +71,5 @@ def components(edges: DataFrame, threshold: float = COLLAPSE, score: str = "scor
 
 def representative(group: list[str], effects: dict[str, float], missing: dict[str, float]) -> str:
     """The column with the greatest effect, then the fewest nulls, then the first name."""
-    return min(group, key=lambda c: (-(effects.get(c) or 0.0), missing.get(c, 0.0), c))
+    gaps = {c: missing.get(c, 0.0) for c in group}
+    return min((-(effects.get(c) or 0.0), gaps[c], c) for c in group)[-1]

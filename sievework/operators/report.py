@@ -21,7 +21,7 @@ def _top(df: DataFrame, n: int) -> DataFrame:
 
 
 def top_keeps(ledger: DataFrame, n: int = 10) -> DataFrame:
-    return _top(ledger.where("verdict = 'keep'"), n).select("column", "semantic_type", "metric_name", "effect", "reason")
+    return _top(ledger.where("verdict = 'keep'"), n).select(*"column semantic_type metric_name effect reason".split())
 
 
 def effect_ranking(ledger: DataFrame, semantic_type: str | None = None, n: int = 20) -> DataFrame:
@@ -66,13 +66,11 @@ def review_worklist(ledger: DataFrame) -> DataFrame:
 
 
 def ledger_view(ledger: DataFrame) -> DataFrame:
-    wanted = ["column", "semantic_type", "verdict", "metric_name", "effect", "reason"]
-    return ledger.select(*[c for c in wanted if c in ledger.columns])
+    return ledger.select(*[c for c in "column semantic_type verdict metric_name effect reason".split() if c in ledger.columns])
 
 
 def inventory_view(facts: DataFrame) -> DataFrame:
-    wanted = ["column", "semantic_type", "dtype", "n_unique", "missing_rate"]
-    shown = [c for c in wanted if c in facts.columns]
+    shown = [c for c in "column semantic_type dtype n_unique missing_rate".split() if c in facts.columns]
     return facts.select(*shown) if shown else facts
 
 

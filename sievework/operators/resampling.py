@@ -8,7 +8,7 @@ for the effect), so the work on a feature has the same bound at every size of th
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pandas
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,10 +52,11 @@ def _kruskal(t: np.ndarray) -> float:
 def _bergsma(t: np.ndarray) -> float:
     t = t[t.sum(1) > 0][:, t.sum(0) > 0]
     n, (r, k) = t.sum(), t.shape
+    m = n - 1
     if min(r, k) < 2 or n < 2:
         return float("nan")
-    phi = max(0.0, (t * t / np.outer(t.sum(1), t.sum(0))).sum() - 1 - (r - 1) * (k - 1) / (n - 1))
-    least = min(r - (r - 1) ** 2 / (n - 1), k - (k - 1) ** 2 / (n - 1)) - 1
+    phi = max(0.0, (t * t / np.outer(t.sum(1), t.sum(0))).sum() - 1 - (k - 1) * (r - 1) / m)
+    least = min(v - (v - 1) ** 2 / m for v in (r, k)) - 1
     return float((phi / least) ** 0.5) if least > 0 else float("nan")
 
 
@@ -140,14 +141,14 @@ def resample(long: DataFrame, metrics: dict[str, str], ci_b: int = 200, shadow_b
     t = t.groupBy("feature", F.col(xs).alias("xk"), F.col(ys).alias("yk")).agg(F.sum("n").alias("n"), value("x", numeric_x), value("y", numeric_y or dict(long.dtypes)["y"] != "string"))
     named = dict(metrics)
 
-    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, g: pandas.DataFrame) -> pandas.DataFrame:
         xk, xi = np.unique(g["xk"].to_numpy(), return_inverse=True)
         yk, yi = np.unique(g["yk"].to_numpy(), return_inverse=True)
         table = np.zeros((len(xk), len(yk)))
         np.add.at(table, (xi, yi), g["n"].to_numpy())
         mean = lambda v, at, size: np.bincount(at, g[v] * g["n"], size) / np.bincount(at, g["n"], size)
         lo, hi, shadow = replicates(table, mean("xv", xi, len(xk)), mean("yv", yi, len(yk)), named[key[0]], ci_b, shadow_b, seed)
-        return pd.DataFrame([[key[0], lo, hi, shadow.tolist()]])
+        return pandas.DataFrame([[key[0], lo, hi, shadow.tolist()]])
 
     return t.groupBy("feature").applyInPandas(one, "feature string, ci_lo double, ci_hi double, shadow array<double>")
 

@@ -138,7 +138,7 @@ def logrank(df: DataFrame, duration: str, event: str, group: str) -> tuple[float
     oe = parts.groupBy("g").agg(F.sum("d").alias("o"), F.sum(F.col("da") * F.col("rg") / F.col("ra")).alias("x")).orderBy("g").collect()
     names = [r["g"] for r in oe]
     if len(names) < 2:
-        return float("nan"), float("nan")
+        return (float("nan"),) * 2
     k = F.when(F.col("ra") > 1, F.col("da") * (F.col("ra") - F.col("da")) / (F.col("ra") - 1)).otherwise(0.0)
     a = parts.select("t", F.col("g").alias("a"), (F.col("rg") / F.col("ra")).alias("pa"), k.alias("k"))
     b = parts.select("t", F.col("g").alias("b"), (F.col("rg") / F.col("ra")).alias("pb"))

@@ -42,10 +42,9 @@ def metric_for(feature_type: str, target_type: str) -> Metric:
     """The first metric of a feature type and target type; ValueError for an unknown one."""
     if feature_type not in FEATURE_TYPES or target_type not in TARGET_TYPES:
         raise ValueError(f"no metric for a feature of type {feature_type!r} and a target of type {target_type!r}")
-    if feature_type == "datetime":
-        return Metric("derive-first", "derive")
-    if target_type == "survival":
-        return Metric("C-index", "survival")
+    special = Metric("derive-first", kind="derive") if feature_type == "datetime" else Metric("C-index", kind="survival") if target_type == "survival" else None
+    if special:
+        return special
     ordered = feature_type in (*NUMERIC, "ordinal")
     if target_type == "binary":
         return Metric("AUC", plan=A.mann_whitney, p=True) if feature_type in NUMERIC else Metric("IV", plan=I.information_value, numeric=False)
@@ -71,7 +70,7 @@ def _nan(v) -> float:
     return float("nan") if v is None else float(v)
 
 
-def relevance(run: Run, features: dict[str, str], ci_b: int = 200, shadow_b: int = 50) -> dict[str, dict]:
+def relevance(run: Run, features: dict[str, str], ci_b=200, shadow_b=50) -> dict[str, dict]:
     """feature -> column, metric_name, effect, effect_ci, p, q_value, shape_gap, fold_spread, shadow_floor, power_flag, n.
 
     Raises GateFailure without frozen folds. Features of one metric are one plan. Effects are over the rows that some fold
@@ -126,7 +125,7 @@ def _association(run, rows, folds, m, fs, kinds, ttype, y, ci_b, shadow_b) -> di
         effect = _nan(e.get("effect"))
         good = [v for v in spread.get(f, []) if v == v]
         out[f] = {
-            "column": f, "metric_name": m.name, "effect": effect, "effect_ci": (round(_nan(d["ci_lo"]), 4), round(_nan(d["ci_hi"]), 4)) if d else (math.nan, math.nan),
+            "column": f, "effect": effect, "metric_name": m.name, "effect_ci": (round(_nan(d["ci_lo"]), 4), round(_nan(d["ci_hi"]), 4)) if d else (math.nan, math.nan),
             "p": _nan(e.get("p")) if m.p else S.permutation_p(effect, shadow), "shape_gap": _nan(gaps.get(f)), "fold_spread": round(float(np.std(good)), 4) if good else math.nan,
             "shadow_floor": round(S.shadow_floor(shadow), 4), "power_flag": power_flag(n.get(f, 0)), "n": n.get(f, 0),
         }

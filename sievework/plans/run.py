@@ -20,7 +20,7 @@ from ..operators.leakage import SIGNAL
 from ..operators.report import LIMITS, drop_rate_by_rule
 from ..sources import ingest
 
-VERDICTS = ("keep", "review", "drop", "redundant", "engineer", "leak-suspect", "structural-drop")
+VERDICTS = tuple("drop engineer keep leak-suspect redundant review structural-drop".split())
 LEDGER = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("column", "semantic_type", "verdict", "metric_name")]
     + [T.StructField("effect", T.DoubleType()), T.StructField("effect_ci", T.StructType([T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))]
@@ -40,17 +40,17 @@ class GateFailure(Exception):
 class Frame:
     """What Part A decides."""
 
-    target: str | None = None
-    target_type: str | None = None
-    event_col: str | None = None
     date_col: str | None = None
-    reference_date: str | None = None
-    id_cols: tuple[str, ...] = ()
+    event_col: str | None = None
     grain: str | None = None
+    id_cols: tuple[str, ...] = ()
     prevalence: float | None = None
-    strictness_tier: str | None = None
+    reference_date: str | None = None
     row_key: str | None = None
     seed: int = 42
+    strictness_tier: str | None = None
+    target: str | None = None
+    target_type: str | None = None
 
 
 @dataclass
@@ -64,7 +64,7 @@ class Ledger:
             raise ValueError(f"unknown verdict {fields['verdict']!r}")
         self.rows.setdefault(column, {}).update(fields)
 
-    def get(self, column: str) -> dict:
+    def get(self, column) -> dict:
         return {"column": column, **self.rows[column]} if column in self.rows else {}
 
     def frame(self, spark: SparkSession) -> DataFrame:
@@ -86,8 +86,8 @@ class LeakRegister:
     def __init__(self, rows: list[tuple] = ()):
         self.rows = list(rows)
 
-    def add(self, part: str, column: str, detector: str, ltype: str, evidence="") -> None:
-        self.rows.append((part, column, detector, ltype, str(evidence)))
+    def add(self, part, column, detector, ltype, evidence="") -> None:
+        self.rows.append((*map(str, (part, column, detector, ltype, evidence)),))
 
     def extend(self, signals: DataFrame) -> None:
         """Detectors give a row for each suspect column at most."""
@@ -122,7 +122,7 @@ class Report:
         for caption, df in tables:
             some = df.limit(rows + 1).collect()
             more = f"\n\nOnly the first {rows} rows are shown." if len(some) > rows else ""
-            parts.append((f"**{caption}**\n\n" if caption else "") + _markdown(df.columns, some[:rows]) + more)
+            parts.append((caption and f"**{caption}**\n\n") + _markdown(df.columns, some[:rows]) + more)
         self.sections[title] = "\n\n".join(parts)
         self._flush()
 
@@ -142,10 +142,14 @@ class Report:
         return out
 
 
+def _six() -> str:
+    return uuid.uuid4().hex[:6]
+
+
 def _show(v) -> str:
     if v is None or v != v:
         return ""
-    return f"{v:.4g}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    return f"{v:.4g}" if isinstance(v, float) else " ".join(str(v).splitlines()).replace("|", "\\|")
 
 
 def _markdown(head: list[str], rows: list) -> str:
@@ -189,7 +193,7 @@ class Run:
         self.folds = load_folds(self.spark, str(self.home / "folds"))
         return self.folds
 
-    def gate(self, part: str, conditions: dict[str, bool], notes: list[str] = ()) -> bool:
+    def gate(self, part, conditions, notes=()) -> bool:
         """Writes a card, then raises unless there are conditions and all hold."""
         failed = [k for k, ok in conditions.items() if not ok] if conditions else ["no conditions"]
         card = {"part": part, "conditions": {k: bool(v) for k, v in conditions.items()}, "passed": not failed, "notes": list(notes)}
@@ -198,7 +202,7 @@ class Run:
             raise GateFailure(part, failed)
         return True
 
-    def save_ledger(self, name: str = "ledger.parquet") -> str:
+    def save_ledger(self, name="ledger.parquet") -> str:
         """CSV gets the ends of the interval as columns of their own."""
         out, path = self.ledger.frame(self.spark), str(self.home / name)
         if name.lower().endswith(".csv"):
@@ -210,7 +214,7 @@ class Run:
 
     def checkpoint(self, part: str = "run") -> Path:
         """The table as a Parquet snapshot of this part, which is never changed later, and the rest as JSON."""
-        table = self.home / f"part_{part}-{uuid.uuid4().hex[:6]}"
+        table = self.home / f"part_{part}-{_six()}"
         self.df.write.parquet(str(table))
         self.df = self.spark.read.parquet(str(table))
         state = {"frame": asdict(self.frame), "table": table.name, "state": self.state, "ledger": self.ledger.rows, "leaks": self.leaks.rows, "folds": self.folds is not None}
@@ -232,8 +236,9 @@ class Run:
         record = {"run_id": self.run_id, "n_columns": len(self.ledger.rows), "verdicts": verdicts, "rules": {r["rule"]: r["n"] for r in drop_rate_by_rule(self.ledger.frame(self.spark)).collect()}}
         if path:
             Path(path).parent.mkdir(parents=True, exist_ok=True)
-            with open(path, "a", encoding="utf-8") as f:
-                f.write(json.dumps(record) + "\n")
+            line = json.dumps(record)
+            with open(path, "a", encoding="utf-8") as log:
+                print(line, file=log)
         return record
 
     def limits_note(self) -> str:
@@ -256,7 +261,7 @@ def open_run(spark: SparkSession, source: str | DataFrame, runs_dir: str = "runs
     df = ingest.normalise(df)
     if "row_key" not in df.columns:
         df = ingest.with_row_key(df, frame.row_key)
-    run_id = run_id or f"{datetime.now(UTC):%Y%m%d-%H%M%S}-{uuid.uuid4().hex[:6]}"
+    run_id = run_id or f"{datetime.now(UTC):%Y%m%d-%H%M%S}-{_six()}"
     return Run(spark, df, frame, run_id, Path(runs_dir) / run_id)
 
 

@@ -47,7 +47,7 @@ def _r(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) + F.lit(0.0) for c in columns})
 
 
-# ---- profile --------------------------------------------------------------------------------
+# profile
 
 _COLUMNS = {
     "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"},
@@ -124,7 +124,7 @@ def sample_values_part(spark: SparkSession, sf: str) -> DataFrame:
     return P.sample_values(_t(spark, sf, "part"), ["p_name", "p_brand"])
 
 
-# ---- values ---------------------------------------------------------------------------------
+# values
 
 _SENT = "select event_id, case when event_id % 50 = 0 then -999 else value end v, case when event_id % 40 = 0 then ' N/A' else event_type end e from events"
 
@@ -133,7 +133,7 @@ def _sentinel_events(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "events").select("event_id", F.expr("case when event_id % 50 = 0 then -999 else value end").alias("v"), F.expr("case when event_id % 40 = 0 then ' N/A' else event_type end").alias("e"))
 
 
-@query(f"with t as ({_SENT}) select 'v' as \"column\", cast(cast(v as bigint) as varchar) sentinel, count(*) n from t where v in (-9999, -999, -99, 9999, 99999, 999999) group by v union all select 'e', '''' || lower(trim(e)) || '''', count(*) from t where lower(trim(e)) in ('', '-', '?', '.', 'na', 'n/a', 'nan', 'null', 'none', 'nil', 'unknown', 'missing') group by lower(trim(e))")
+@query(f"with t as ({_SENT}) select 'v' as \"column\", cast(cast(v as bigint) as varchar) sentinel, count(*) n from t where v in (-9999, -999, -99, 9999, 99999, 999999) group by v union all select 'e', '''' || lower(trim(e)) || '''', count(*) from t where lower(trim(e)) in ('', '-', '?', '.', 'na', 'n/a', 'nan', 'null', 'none', '--', 'unknown', 'missing') group by lower(trim(e))")
 def sentinels_events(spark: SparkSession, sf: str) -> DataFrame:
     return P.sentinel_candidates(_sentinel_events(spark, sf).select("v", "e"))
 
@@ -215,7 +215,7 @@ def hurdle_split_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return _r(_t(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.avg(zero).alias("zeros"), F.avg(rest).alias("positive")), "zeros", "positive")
 
 
-# ---- folds ----------------------------------------------------------------------------------
+# folds
 
 
 @query("select event_id row_key, cast((row_number() over (partition by event_type order by md5('42|' || event_id), event_id) - 1) % 5 + 1 as int) fold from events")
@@ -247,7 +247,7 @@ def fold_positives_orders(spark: SparkSession, sf: str) -> DataFrame:
     return E.fold_positives(o, E.make_folds(o, "stratified", key="o_orderkey", target="o_orderstatus"), "o_orderstatus", key="o_orderkey")
 
 
-# ---- association ----------------------------------------------------------------------------
+# association
 
 
 def _auc_sql(table: str, features: list[str], y: str, extra: str = "", by: str = "") -> str:
@@ -336,7 +336,7 @@ def _chi_sql(table: str, f: str, y: str, effect: str) -> str:
     return f"(with o as (select {f} x, {y} y, count(*) n from {table} group by 1, 2), m as (select *, sum(n) over (partition by x) nx, sum(n) over (partition by y) ny from o), c as (select cast(sum(n) as double) n, count(distinct x) r, count(distinct y) k, sum(n) * (sum(n * 1.0 * n / (cast(nx as double) * ny)) - 1) chi from m) select '{f}' feature, cast(n as bigint) n, round({effect}, 6) + 0.0 effect from c)"
 
 
-_BERGSMA = "sqrt(greatest(0, chi / n - (r - 1) * (k - 1) / (n - 1)) / (least(r - (r - 1) * (r - 1) / (n - 1), k - (k - 1) * (k - 1) / (n - 1)) - 1))"
+_BERGSMA = "sqrt(greatest(0, chi / n - (k - 1) * (r - 1) / (n - 1)) / (least((r * n - r * r + r - 1) / (n - 1), (k * n - k * k + k - 1) / (n - 1)) - 1))"
 
 
 @query(" union all ".join(_chi_sql("lineitem", f, "l_returnflag", _BERGSMA) for f in ("l_linestatus", "l_linenumber")))
@@ -349,7 +349,7 @@ def cramers_v_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return _r(A.cramers_v(categorical(_t(spark, sf, "lineitem"), ["l_linestatus", "l_linenumber"], F.col("l_returnflag")), ["feature"]), "effect")
 
 
-# ---- information ----------------------------------------------------------------------------
+# information
 
 _WOE = "with l as (select lang x, count_if(quality = 0) g, count_if(quality = 1) b from documents join labels using (doc_id) group by 1), t as (select *, sum(g) over () tg, sum(b) over () tb from l), w as (select x, g, b, ln(((g + 0.5) / (tg + 0.5)) / ((b + 0.5) / (tb + 0.5))) woe, g / tg - b / tb d from t)"
 
@@ -399,7 +399,7 @@ def shape_gap_part(spark: SparkSession, sf: str) -> DataFrame:
     return _r(I.shape_gap(numeric(p, ["x"], F.col("y")), ["feature"]), "gap")
 
 
-# ---- drift, resampling ----------------------------------------------------------------------
+# drift, resampling
 
 _TENTHS = "[" + ", ".join(f"cast({k / 10} as double)" for k in range(11)) + "]"
 
@@ -454,7 +454,7 @@ def bootstrap_orders(spark: SparkSession, sf: str) -> DataFrame:
     return S.resample(long, {"o_custkey": "AUC", "o_totalprice": "AUC"}).select("feature", "ci_lo", "ci_hi", F.size("shadow").alias("shadows"))
 
 
-# ---- redundancy, leaks ----------------------------------------------------------------------
+# redundancy, leaks
 
 
 def _rho(table: str, a: str, b: str) -> str:
@@ -536,7 +536,7 @@ def name_signals_labels(spark: SparkSession, sf: str) -> DataFrame:
     return L.name_signals(spark, [*_t(spark, sf, "labels").columns, *_t(spark, sf, "embeddings").columns], "toxic")
 
 
-# ---- ledger reports -------------------------------------------------------------------------
+# ledger reports
 
 _LEDGER = "select p_name || '-' || p_partkey as \"column\", p_type semantic_type, case p_partkey % 4 when 0 then 'keep' when 1 then 'drop' when 2 then 'redundant' else 'review' end verdict, 'AUC' metric_name, case when p_partkey % 10 > 0 then p_retailprice end effect, case when p_partkey % 3 = 0 then null when p_partkey % 3 = 1 then 'weak (' || p_size || ')' else 'copy of ''x''' end reason from part"
 
@@ -586,7 +586,7 @@ def missingness_top_events(spark: SparkSession, sf: str) -> DataFrame:
     return O.missingness_top(P.missingness(_gap_events(spark, sf)), 3)
 
 
-# ---- survival -------------------------------------------------------------------------------
+# survival
 
 _LIFE = "with h as (select cast(max(o_orderdate) as date) hi from orders), d as (select o_custkey, date_diff('day', cast(min(o_orderdate) as date), max(hi)) span from orders, h group by 1), l as (select cast(span as double) t, case when c_acctbal > 0 then 1 else 0 end e, c_acctbal x, cast(c_nationkey as double) z, c_mktsegment g from customer join d on o_custkey = c_custkey)"
 
@@ -620,7 +620,7 @@ def cox_customer(spark: SparkSession, sf: str) -> DataFrame:
     return _r(spark.createDataFrame([(f, r["beta"], r["hr"], r["p"], r["cindex"]) for f, r in found.items()], "feature string, beta double, hr double, p double, cindex double"), "beta", "hr", "p", "cindex")
 
 
-# ---- whole runs -----------------------------------------------------------------------------
+# whole runs
 
 
 @query()

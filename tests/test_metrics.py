@@ -205,7 +205,7 @@ def test_cox_of_untied_times_is_the_same_by_either_rule(spark):
 
 
 def test_thresholds():
-    assert thresholds.cramers_v_floor(2) == pytest.approx(0.05) and math.isnan(thresholds.cramers_v_floor(1))
+    assert pytest.approx(0.05) == thresholds.cramers_v_floor(2) and math.isnan(thresholds.cramers_v_floor(1))
     assert [thresholds.tier_for(n) for n in (100, 30, 29)] == ["full", "reduced-power", "structural-only"]
     assert not thresholds.folds_viable([]) and not thresholds.folds_viable([20, 9]) and thresholds.folds_viable([10, 11])
     assert thresholds.viable("regression", None, 100) and not thresholds.viable("binary", 49, 500)

@@ -22,11 +22,10 @@ from sievework.streaming import psi as W
 
 @pytest.fixture(scope="module")
 def planted():
-    rng = np.random.default_rng(11)
-    n = 500
+    n, rng = 500, np.random.default_rng(17)
     y = rng.integers(0, 2, n)
     signal = y + rng.normal(0, 0.9, n)
-    return pd.DataFrame({"customer_id": np.arange(n), "signal": signal, "noise": rng.normal(size=n), "region": rng.choice(list("abcd"), n), "constant": 7, "leak_score": y.astype(float), "churn": y, "signal_dup": signal})
+    return pd.DataFrame({"customer_id": np.arange(n), "signal": signal, "noise": rng.normal(size=n), "region": rng.choice(["a", "b", "c", "d"], n), "constant": 7, "leak_score": y.astype(float), "churn": y, "signal_dup": signal})
 
 
 def test_profile_and_flags(spark, planted):
