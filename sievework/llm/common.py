@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _pow(n: int) -> tuple[np.ndarray, ...]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
             p = np.full(n, base, np.uint64)
@@ -115,7 +115,7 @@ def words_of(buf: Buffer, hashes: bool = True) -> Words:
     return Words(lo, start, end, span_hash(buf.sums(), start, end) if hashes else np.zeros(0, np.uint64))
 
 
-def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(w: Words, k: int) -> tuple[np.ndarray, ...]:
     """(hashes, lo) of all runs of k words; a document of fewer words has none."""
     count = np.maximum(w.count - k + 1, 0)
     lo = np.concatenate([[0], np.cumsum(count)])
@@ -175,7 +175,7 @@ def lists(values: np.ndarray, lo: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(lo.astype(np.int32)), pa.array(values, kind))
 
 
-# ---- scratch tables -------------------------------------------------------------------------
+# scratch tables
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -75,7 +75,7 @@ def build(patterns: list[tuple[int, np.ndarray]], size: int = BLOCK) -> Tables |
     return Tables(m, [patterns[i][1] for i in order], np.array([patterns[i][0] for i in order], np.int64), block, np.array([shift[int(x)] for x in block], np.int64), zero, np.append(np.searchsorted(sorted_suffix, zero), len(order)), np.array(prefix, np.uint64)[order])
 
 
-def search(t: Tables | None, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(t: Tables | None, w: Words) -> tuple[np.ndarray, ...]:
     """(document, word position, pattern index) of every occurrence."""
     none = np.zeros(0, np.int64)
     if t is None or len(w.hash) < t.m:

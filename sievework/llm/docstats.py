@@ -15,7 +15,7 @@ def _share(flag: np.ndarray, buf: Buffer, size: np.ndarray) -> np.ndarray:
     return (total[buf.at[1:]] - total[buf.at[:-1]]) / size
 
 
-def _per_doc(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _per_doc(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
     """(distinct keys, occurrences of the most frequent key) of each document."""
     if not len(key):
         return np.zeros(n, np.int64), np.zeros(n, np.int64)

@@ -63,7 +63,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
         return np.where(self.known[at] == keys, at, -1)
 
-    def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: pa.Array) -> tuple[np.ndarray, ...]:
         """(ids, lo): ids[lo[i]:lo[i + 1]] are those of text i, without an end mark."""
         buf = buffer_of(text, lower=False)
         n = len(buf.data)

@@ -26,7 +26,7 @@ SHINGLE, SIDE, DEPTH, THRESHOLD = 3, 16, 3, 0.6
 RUN = 2000  # comparisons with one pivot that go to one task
 
 
-def shingles(w, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingles(w, k: int = SHINGLE) -> tuple[np.ndarray, ...]:
     """(hashes, lo): the shingles of each document; all its words as one if it has fewer than k."""
     g, lo = grams(w, k)
     count = np.diff(lo)
@@ -43,7 +43,7 @@ def shingles(w, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return g, np.concatenate([[0], np.cumsum(count)])
 
 
-def distinct(g: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(g: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, ...]:
     """The same without repeats, ascending in each document."""
     count = np.diff(lo)
     doc = np.repeat(np.arange(len(count)), count)

@@ -25,7 +25,7 @@ MIN_WORDS, MIN_IDENTITY, MIN_SEEDS = 45, 0.7, 3
 MARGIN = K + WINDOW + 4
 
 
-def minimisers(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimisers(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """(document, position, hash): the least hash of each window, the first of equal ones."""
     g, lo = grams(w, k)
     count = np.diff(lo)

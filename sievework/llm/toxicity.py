@@ -35,7 +35,7 @@ class Model:
     theta: np.ndarray
 
 
-def slots_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slots_of(text: pa.Array) -> tuple[np.ndarray, ...]:
     """(document, hash slot) of every occurrence of a feature, and the number of words of each document."""
     buf = buffer_of(text)
     w = words_of(buf)
@@ -48,7 +48,7 @@ def slots_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(keys).astype(np.int64), w.count
 
 
-def _counts(doc: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counts(doc: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     both, n = np.unique(doc * width + key, return_counts=True)
     return both // width, both % width, n
 
