@@ -43,25 +43,28 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.place, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.levels: list[tuple] = []  # (sorted keys, places, sizes), each over twice as long as the next
         self.pool = np.zeros(0, np.uint16)
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.known) > CACHE:
-            self.clear()
         new = [self.bpe.encode_ordinary(t) for t in texts]
-        size = np.array([len(x) for x in new], np.int64)
-        place = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, *[np.array(x, np.uint16) for x in new]])
-        known = np.concatenate([self.known, keys])
-        order = np.argsort(known)
-        self.known, self.place, self.size = known[order], np.concatenate([self.place, place])[order], np.concatenate([self.size, size])[order]
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.known):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        return np.where(self.known[at] == keys, at, -1)
+        size = np.array([len(x) for x in new], np.int32)
+        place = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
+        self.pool = np.concatenate([self.pool, np.array([i for x in new for i in x], np.uint16)])
+        self.levels.append((keys, place, size))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
+            both = [np.concatenate(x) for x in zip(self.levels[-2], self.levels[-1], strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            self.levels[-2:] = [tuple(x[order] for x in both)]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(place in the pool, -1 if unknown; size) of each key."""
+        place, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for known, places, sizes in self.levels:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = np.flatnonzero(known[at] == keys)
+            place[hit], size[hit] = places[at[hit]], sizes[at[hit]]
+        return place, size
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, ...]:
         """(ids, lo): ids[lo[i]:lo[i + 1]] are those of text i, without an end mark."""
@@ -81,18 +84,18 @@ class Encoder:
         end = np.append(start[1:], n)
         key = span_hash(buf.sums(), start, end)
         uniq, first, back = np.unique(key, return_index=True, return_inverse=True)
-        at = self.find(uniq)
-        new = np.flatnonzero(at < 0)
+        place, size = self.find(uniq)
+        new = np.flatnonzero(place < 0)
         if len(new):
             raw = buf.data.tobytes()
-            if len(self.known) > CACHE:
+            if sum(len(x[0]) for x in self.levels) > CACHE:
                 self.clear()
                 new = np.arange(len(uniq))
             self.learn(uniq[new], [raw[start[i] : end[i]].decode("utf-8") for i in first[new]])
-            at = self.find(uniq)
-        size = self.size[at][back]
+            place, size = self.find(uniq)
+        size = size[back]
         total = np.concatenate([[0], np.cumsum(size)])
-        pick = np.repeat(self.place[at][back] - total[:-1], size) + np.arange(total[-1])
+        pick = np.repeat(place[back] - total[:-1], size) + np.arange(total[-1])
         return self.pool[pick], total[np.searchsorted(start, buf.at)]
 
 
