@@ -4,6 +4,8 @@
    The i-th occurrence of a seed in a document is keyed by (seed, i), so repetitive texts pair in order.
 2. Every occurrence joins the key's first occurrence (least doc_id), never all others: the
    work is linear in the occurrences, and a passage in a thousand documents gives 999 partners.
+   So that shorter passages in earlier documents don't take a longer one's seeds apart, an occurrence joins also the first
+   that has the same seeds around it: the NEAR before or after it, and those MIN_WORDS before or after it.
 3. The matches of a pair of documents, ordered in one, are chained in the other by prefix maxima
    in a Fenwick tree, with a gap cost for each word that is stepped over.
 4. The words of a chain and of MARGIN words around it are aligned: equal runs pass at once, other stretches by
@@ -17,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, Words, buffer_of, col, each_of, free_name, grams, ints, mix, read, slices, small_side, words_of
+from .common import U64, Scratch, Words, _pow, buffer_of, col, each_of, free_name, grams, ints, mix, read, slices, small_side, span_hash, words_of
 
 K, WINDOW = 5, 8
 GAP_COST, MAX_GAP = 0.1, 40
 MIN_WORDS, MIN_IDENTITY, MIN_SEEDS = 45, 0.7, 3
 MARGIN = K + WINDOW + 4
+NEAR = 3  # seeds
+AROUND = ("near_after", "near_before", "wide_after", "wide_before")
 
 
 def minimisers(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -47,9 +51,26 @@ def minimisers(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
     return doc[at], pos[at], g[at]
 
 
+def around(doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(32-bit hash, whether the document has it) of the seeds after and before each, in the order of AROUND."""
+    n, i = len(h), np.arange(len(h))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * _pow(n)[0], out=sums[1:])
+    at = doc * (int(pos.max(initial=0)) + MIN_WORDS) + pos
+    reach = MIN_WORDS - K
+    out = []
+    for j in (i + NEAR, i - NEAR, np.searchsorted(at, at + reach), np.searchsorted(at, at - reach, "right") - 1):
+        has = (j >= 0) & (j < n)
+        has[has] = doc[j[has]] == doc[has]
+        j = np.where(has, j, i)
+        out.append(((span_hash(sums, np.minimum(i, j), np.maximum(i, j) + 1) >> U64(32)).astype(np.uint32).view(np.int32), has))
+    return out
+
+
 def _seeds(batches):
     for b in slices(batches, "text"):
         doc, pos, h = minimisers(words_of(buffer_of(col(b, "text"))))
+        near = around(doc, pos, h)
         order = np.lexsort((pos, h, doc))
         doc, pos, h = doc[order], pos[order], h[order]
         new = np.ones(len(h), bool)
@@ -57,7 +78,8 @@ def _seeds(batches):
         first = np.flatnonzero(new)
         turn = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
         h = mix(h + turn.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ints(b, "_id")[doc]), pa.array(pos, pa.int32())], ["key", "_id", "pos"])
+        near = [pa.array(v[order], mask=~has[order]) for v, has in near]
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ints(b, "_id")[doc]), pa.array(pos, pa.int32()), *near], ["key", "_id", "pos", *AROUND])
 
 
 def chains(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, weight: int = K) -> list[np.ndarray]:
@@ -202,10 +224,14 @@ def shared_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text")).where("_id is not null and text is not null")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be coalesced
     with Scratch(spark) as sc:
-        seeds = src.mapInArrow(_seeds, "key long, _id long, pos int")
-        by_key = Window.partitionBy("key").orderBy("_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hit = seeds.withColumn("f", F.first(F.struct("_id", "pos")).over(by_key)).where("f._id <> _id")
-        pairs = hit.groupBy(F.col("f._id").alias("a"), F.col("_id").alias("b")).agg(F.collect_list(F.struct(F.col("f.pos").alias("x"), F.col("pos").alias("y"))).alias("m"))
+        seeds = src.mapInArrow(_seeds, "key long, _id long, pos int, " + ", ".join(f"{c} int" for c in AROUND))
+        by = lambda *c: Window.partitionBy("key", *c).orderBy("_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        first, whole = F.first(F.struct("_id", "pos")), by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        hit = seeds.select("*", first.over(by()).alias("f"), F.last("_id").over(whole).alias("z")).where("f._id <> z").drop("z")
+        for c in AROUND:  # all in the partitions of the key
+            hit = hit.withColumn(f"f_{c}", F.when(F.col(c).isNotNull(), first.over(by(c))))
+        hit = hit.select("_id", "pos", F.explode(F.array_distinct(F.array("f", *[f"f_{c}" for c in AROUND]))).alias("f")).where("f._id <> _id")
+        pairs = hit.groupBy(F.col("f._id").alias("a"), F.col("_id").alias("b")).agg(F.collect_set(F.struct(F.col("f.pos").alias("x"), F.col("pos").alias("y"))).alias("m"))
         chained = sc.table(pairs.where(f"size(m) >= {MIN_SEEDS}").repartition(tasks, "a", "b").mapInArrow(_chain, "a long, b long, n int, xa array<int>, xb array<int>"))
         ask = lambda side, doc, xs: F.struct("a", "b", "n", F.lit(side).alias("side"), doc.alias("_id"), (xs[0] - MARGIN).alias("lo"), (F.element_at(xs, -1) + K + MARGIN).alias("hi"))
         asked = chained.select(F.explode(F.array(ask(0, F.col("a"), F.col("xa")), ask(1, F.col("b"), F.col("xb")))).alias("q")).select("q.*")

@@ -61,6 +61,16 @@ def test_cutting_leaves_the_rest_of_the_text(spark):
     assert cut_passages(spark, docs).columns == docs.columns
 
 
+def test_a_passage_whose_halves_occur_alone_earlier(spark):
+    left, right, more = prose(9100, 30), prose(9101, 30), prose(9102, 30)
+    alone = [f"{prose(300 + i, 40)} {(left, right, more)[i % 3]} {prose(400 + i, 40)}" for i in range(6)]
+    both = [f"{prose(500 + i, 50)} {left} {right} {prose(600 + i, 50)}" for i in range(3)]
+    three = [f"{prose(700 + i, 50)} {left} {right} {more} {prose(800 + i, 50)}" for i in range(2)]
+    got = shared_passages(spark, table(spark, list(enumerate([*alone, *both, *three])))).toPandas()
+    longest = got.assign(n=got["end_word"] - got["first_word"]).groupby("doc_id")["n"].max()
+    assert set(longest.index) == {7, 8, 9, 10} and (longest[[7, 8, 9]] >= 58).all() and longest[10] >= 88
+
+
 def brute_chain(x, y, gap=0.1, weight=5):
     best = 0.0
     order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
