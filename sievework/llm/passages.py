@@ -1,7 +1,8 @@
 """Fuzzy passages shared by documents: seeds, collinear chains, alignment.
 
 1. Seeds are the minimisers of word 5-grams over windows of 8 (any run of 12 equal words has one).
-   The i-th occurrence of a seed in a document is keyed by (seed, i), so repetitive texts pair in order.
+   The i-th occurrence of a seed in a document is keyed by (seed, i), so repetitive texts pair in order, and by (seed, 0), so
+   all copies in a document pair with the source's first.
 2. Every occurrence joins the key's first occurrence (least doc_id), never all others: the
    work is linear in the occurrences, and a passage in a thousand documents gives 999 partners.
    So that shorter passages in earlier documents don't take a longer one's seeds apart, an occurrence joins also the first
@@ -77,8 +78,10 @@ def _seeds(batches):
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         turn = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-        h = mix(h + turn.astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-        near = [pa.array(v[order], mask=~has[order]) for v, has in near]
+        again = np.flatnonzero(turn)  # also under turn 0, which alone has the seeds around
+        h = np.concatenate([mix(h + turn.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), mix(h[again])])
+        near = [pa.array(np.concatenate([v[order], v[order[again]]]), mask=np.concatenate([~has[order] | (turn > 0), ~has[order[again]]])) for v, has in near]
+        doc, pos = np.concatenate([doc, doc[again]]), np.concatenate([pos, pos[again]])
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ints(b, "_id")[doc]), pa.array(pos, pa.int32()), *near], ["key", "_id", "pos", *AROUND])
 
 
@@ -216,7 +219,8 @@ FOUND = "doc_id long, first_word int, end_word int, source_doc_id long, source_f
 def shared_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row for each passage of doc_id that an earlier document (source_doc_id < doc_id) has too, in word positions.
 
-    A passage has at least MIN_WORDS words in both and a word identity of at least MIN_IDENTITY.
+    A passage has at least MIN_WORDS words in both and a word identity of at least MIN_IDENTITY. One that lies in another
+    that doc_id shares with the same source isn't reported again.
     Case, punctuation and spaces don't count. Repeats inside one document aren't reported. Rows that repeat a doc_id are
     taken as one document. Null or empty texts and null doc_ids have no passages; an empty table gives an empty result. Only doc_id
     and text are read.
@@ -240,7 +244,9 @@ def shared_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
         cut = src.join(small_side(asked, rows), "_id").select("text", "asked").mapInArrow(_pieces, "a long, b long, n int, side int, lo int, h binary")
         side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
         both = cut.groupBy("a", "b", "n").agg(side(0, "lo").alias("la"), side(0, "h").alias("ha"), side(1, "lo").alias("lb"), side(1, "h").alias("hb"))
-        return sc.result(both.join(chained, ["a", "b", "n"]).repartition(tasks, "a", "b", "n").mapInArrow(_align, FOUND))
+        found = both.join(chained, ["a", "b", "n"]).repartition(tasks, "a", "b", "n").mapInArrow(_align, FOUND)
+        before = Window.partitionBy("doc_id", "source_doc_id").orderBy("first_word", F.col("end_word").desc(), "source_first_word", "source_end_word").rowsBetween(Window.unboundedPreceding, -1)
+        return sc.result(found.withColumn("reach", F.coalesce(F.max("end_word").over(before), F.lit(0))).where("end_word > reach").drop("reach"))
 
 
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:

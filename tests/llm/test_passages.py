@@ -71,6 +71,18 @@ def test_a_passage_whose_halves_occur_alone_earlier(spark):
     assert set(longest.index) == {7, 8, 9, 10} and (longest[[7, 8, 9]] >= 58).all() and longest[10] >= 88
 
 
+def test_every_copy_in_a_later_document_is_found(spark):
+    p, gap = prose(9200, 60), [prose(9300 + i, 50) for i in range(5)]
+    part = " ".join(p.split()[:35])
+    rows = [(0, f"{gap[0]} {p}"), (1, f"{gap[1]} {p} {gap[2]} {p} {gap[3]}"), (2, f"{part} {gap[4]} {p}")]
+    docs = table(spark, rows)
+    got = shared_passages(spark, docs).toPandas()
+    spans = lambda d: sorted(got.loc[(got["doc_id"] == d) & (got["source_doc_id"] == 0), ["first_word", "end_word"]].itertuples(index=False, name=None))
+    assert spans(1) == [(50, 110), (160, 220)] and spans(2) == [(85, 145)]
+    out = {r["doc_id"]: r["text"].split() for r in cut_passages(spark, docs).collect()}
+    assert out[1] == f"{gap[1]} {gap[2]} {gap[3]}".split() and out[2] == f"{part} {gap[4]}".split()
+
+
 def brute_chain(x, y, gap=0.1, weight=5):
     best = 0.0
     order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
