@@ -1,16 +1,20 @@
 """Fuzzy passages shared by documents: seeds, collinear chains, alignment.
 
-1. Seeds are the minimisers of word 5-grams over windows of 8 (any run of 12 equal words has one).
+1. Seeds are the minimisers of word 5-grams over windows of 8 (any run of 12 words equal in two documents has one), but for 5-grams of one repeated word.
    The i-th occurrence of a seed in a document is keyed by (seed, i), so repetitive texts pair in order, and by (seed, 0), so
    all copies in a document pair with the source's first.
-2. Every occurrence joins the key's first occurrence (least doc_id), never all others: the
-   work is linear in the occurrences, and a passage in a thousand documents gives 999 partners.
+2. Every occurrence joins the key's first occurrence (least doc_id) and the one before it, never all others: the
+   work is linear in the occurrences, and a passage in a thousand documents gives 999 partners and 998 more.
    So that shorter passages in earlier documents don't take a longer one's seeds apart, an occurrence joins also the first
-   that has the same seeds around it: the NEAR before or after it, and those MIN_WORDS before or after it.
+   that has the same seeds around it: the NEAR before or after it, and the run of seeds that reaches MIN_WORDS words before or after it. A match by such a run
+   brings the run's middle and far seed along, so it's a chain by itself: a run of MIN_WORDS + K + WINDOW equal words is always found with some source.
 3. The matches of a pair of documents, ordered in one, are chained in the other by prefix maxima
    in a Fenwick tree, with a gap cost for each word that is stepped over.
 4. The words of a chain and of MARGIN words around it are aligned: equal runs pass at once, other stretches by
    edit distance, and both ends are extended while they match.
+
+Seeds that a large share of the documents have (licences, notices) don't meet in one task: keys of more than about HOT occurrences, found in a sample, take their
+first occurrences from sums that are combined before the shuffle. What is asked of one document is split into rows of at most about ASKED ranges.
 """
 
 from __future__ import annotations
@@ -28,6 +32,25 @@ MIN_WORDS, MIN_IDENTITY, MIN_SEEDS = 45, 0.7, 3
 MARGIN = K + WINDOW + 4
 NEAR = 3  # seeds
 AROUND = ("near_after", "near_before", "wide_after", "wide_before")
+HOT = 1 << 20  # occurrences of a key that one task may see
+SAMPLED = 1 << 14  # of them in the sample that finds such keys
+ASKED = 2_000
+
+
+LAST = U64((1 << 64) - 1)
+
+
+def repeated(w: Words, k: int) -> np.ndarray:
+    """Of the runs that grams() gives, those of one word k times."""
+    n = len(w.hash) - k + 1
+    same = np.ones(n, bool)
+    for j in range(1, k):
+        same &= w.hash[:n] == w.hash[j : j + n]
+    inside = np.ones(n, bool)
+    for j in range(1, k):
+        cross = w.lo[1:] - j
+        inside[cross[(cross >= 0) & (cross < n)]] = False
+    return same[inside]
 
 
 def minimisers(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -36,6 +59,7 @@ def minimisers(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
     count = np.diff(lo)
     if not len(g):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), g
+    g[repeated(w, k)] = LAST
     doc = np.repeat(np.arange(len(count)), count)
     pos = np.arange(len(g)) - lo[:-1][doc]
     n = max(len(g) - window + 1, 1)
@@ -48,30 +72,37 @@ def minimisers(w: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray,
     taken[best[whole]] = True
     for d in np.flatnonzero((count > 0) & (count < window)):
         taken[lo[d] + g[lo[d] : lo[d + 1]].argmin()] = True
-    at = np.flatnonzero(taken)
+    at = np.flatnonzero(taken & (g < LAST))
     return doc[at], pos[at], g[at]
 
 
-def around(doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(32-bit hash, whether the document has it) of the seeds after and before each, in the order of AROUND."""
+def around(doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[np.ndarray]]:
+    """(32-bit hash, whether the document has it) of the seeds after and before each, in the order of AROUND; and for the last two the
+    distance to the run's far seed times 256 plus that to its middle one."""
     n, i = len(h), np.arange(len(h))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(h * _pow(n)[0], out=sums[1:])
-    at = doc * (int(pos.max(initial=0)) + MIN_WORDS) + pos
+    at = doc * (int(pos.max(initial=0)) + 4 * MIN_WORDS) + pos
     reach = MIN_WORDS - K
-    out = []
-    for j in (i + NEAR, i - NEAR, np.searchsorted(at, at + reach), np.searchsorted(at, at - reach, "right") - 1):
+    out, far = [], []
+    for wide, j in enumerate((i + NEAR, i - NEAR, np.searchsorted(at, at + reach), np.searchsorted(at, at - reach, "right") - 1)):
         has = (j >= 0) & (j < n)
         has[has] = doc[j[has]] == doc[has]
         j = np.where(has, j, i)
-        out.append(((span_hash(sums, np.minimum(i, j), np.maximum(i, j) + 1) >> U64(32)).astype(np.uint32).view(np.int32), has))
-    return out
+        v = span_hash(sums, np.minimum(i, j), np.maximum(i, j) + 1)
+        if wide > 1:
+            gap, mid = np.abs(pos[j] - pos), np.abs(pos[(i + j) // 2] - pos)
+            has &= gap < 2 * MIN_WORDS
+            far.append(np.where(has, gap * 256 + mid, 0))
+            v = mix(v + far[-1].astype(np.uint64))
+        out.append(((v >> U64(32)).astype(np.uint32).view(np.int32), has))
+    return out, far
 
 
 def _seeds(batches):
     for b in slices(batches, "text"):
         doc, pos, h = minimisers(words_of(buffer_of(col(b, "text"))))
-        near = around(doc, pos, h)
+        near, far = around(doc, pos, h)
         order = np.lexsort((pos, h, doc))
         doc, pos, h = doc[order], pos[order], h[order]
         new = np.ones(len(h), bool)
@@ -81,8 +112,64 @@ def _seeds(batches):
         again = np.flatnonzero(turn)  # also under turn 0, which alone has the seeds around
         h = np.concatenate([mix(h + turn.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), mix(h[again])])
         near = [pa.array(np.concatenate([v[order], v[order[again]]]), mask=np.concatenate([~has[order] | (turn > 0), ~has[order[again]]])) for v, has in near]
+        far = [pa.array(np.concatenate([v[order], v[order[again]]]).astype(np.int16)) for v in far]
         doc, pos = np.concatenate([doc, doc[again]]), np.concatenate([pos, pos[again]])
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ints(b, "_id")[doc]), pa.array(pos, pa.int32()), *near], ["key", "_id", "pos", *AROUND])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ints(b, "_id")[doc]), pa.array(pos, pa.int32()), *near, *far], ["key", "_id", "pos", *AROUND, "far_after", "far_before"])
+
+
+SEED = "key long, _id long, pos int, " + ", ".join(f"{c} int" for c in AROUND) + ", far_after short, far_before short"
+
+
+def _hot(sc: Scratch, src: DataFrame, hot: int) -> DataFrame | None:
+    """The keys of more than about hot occurrences, by a sample of documents; None if there are none. Which are found changes the plan, not the result."""
+    share = min(1.0, SAMPLED / hot)
+    some = src.sample(share, 6) if share < 1 else src
+    keys = sc.table(some.mapInArrow(_seeds, SEED).groupBy("key").count().where(F.col("count") > hot * share / 2).select("key"))
+    return keys if keys.limit(1).count() else None
+
+
+def before(sc: Scratch, rows: DataFrame) -> DataFrame:
+    """rows with f_last, the occurrence of the same key before each in the order of (_id, pos), without a task for a key: rows are range-partitioned, and the first
+    rows of a partition take theirs from the last rows of the partitions before."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sc.table(rows.repartitionByRange(tasks, "key", "_id", "pos").withColumn("_p", F.spark_partition_id()))
+    head, order = F.struct("_id", "pos"), ["_id", "pos"]
+    ends = ranged.groupBy("key", "_p").agg(F.max(head).alias("end"))
+    ends = ends.withColumn("end", F.lag("end").over(Window.partitionBy("key").orderBy("_p")))
+    inside = F.lag(head).over(Window.partitionBy("key", "_p").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(small_side(sc.table(ends)), ["key", "_p"]).withColumn("f_last", F.coalesce("inside", "end")).drop("inside", "end", "_p")
+
+
+def first_matches(sc: Scratch, src: DataFrame, hot: int = HOT) -> DataFrame:
+    """(a, b, x, y): seeds of document b at y and of an earlier document a at x that match."""
+    seeds = src.mapInArrow(_seeds, SEED)
+    head = F.struct("_id", "pos")
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        by = lambda *c: Window.partitionBy("key", *c).orderBy("_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        hit = rows.select("*", F.first(head).over(by()).alias("f"), F.last("_id").over(whole).alias("z")).where("f._id <> z").drop("z")
+        for c in AROUND:  # all in the partitions of the key
+            hit = hit.withColumn(f"f_{c}", F.when(F.col(c).isNotNull(), F.first(head).over(by(c))))
+        return hit.withColumn("f_last", F.lag(head).over(Window.partitionBy("key").orderBy("_id", "pos")))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        for name, on in (("f", []), *[(f"f_{c}", [c]) for c in AROUND]):
+            some = rows.where(F.col(on[0]).isNotNull()) if on else rows
+            least = sc.table(some.groupBy("key", *on).agg(F.min(head).alias(name)))
+            rows = rows.join(small_side(least), ["key", *on], "left")
+        return before(sc, rows)
+
+    keys = _hot(sc, src, hot)
+    if keys is None:
+        hit = windowed(seeds)
+    else:
+        keys = small_side(keys)
+        hit = windowed(seeds.join(keys, "key", "left_anti")).unionByName(joined(sc.table(seeds.join(keys, "key", "left_semi"))))
+    point = lambda f, d: F.struct(F.col(f"{f}._id").alias("a"), (F.col(f"{f}.pos") + d).alias("x"), (F.col("pos") + d).alias("y"))
+    far = lambda c, sign: [point(f"f_wide_{c}", sign * F.shiftright(F.col(f"far_{c}").cast("int"), 8)), point(f"f_wide_{c}", sign * F.col(f"far_{c}").bitwiseAND(255).cast("int"))]
+    points = F.array(*[point(f, F.lit(0)) for f in ("f", "f_last", *[f"f_{c}" for c in AROUND])], *far("after", 1), *far("before", -1))
+    return hit.select(F.col("_id").alias("b"), F.explode(F.array_distinct(points)).alias("m")).where("m.a <> b").select("m.a", "b", "m.x", "m.y")
 
 
 def chains(x: np.ndarray, y: np.ndarray, gap_cost: float = GAP_COST, weight: int = K) -> list[np.ndarray]:
@@ -216,30 +303,26 @@ def _align(batches):
 FOUND = "doc_id long, first_word int, end_word int, source_doc_id long, source_first_word int, source_end_word int, identity double"
 
 
-def shared_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def shared_passages(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row for each passage of doc_id that an earlier document (source_doc_id < doc_id) has too, in word positions.
 
     A passage has at least MIN_WORDS words in both and a word identity of at least MIN_IDENTITY. One that lies in another
     that doc_id shares with the same source isn't reported again.
-    Case, punctuation and spaces don't count. Repeats inside one document aren't reported. Rows that repeat a doc_id are
+    Case, punctuation and spaces don't count. Repeats inside one document aren't reported, and a run of one word over and over is no passage. Rows that repeat a doc_id are
     taken as one document. Null or empty texts and null doc_ids have no passages; an empty table gives an empty result. Only doc_id
     and text are read.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text")).where("_id is not null and text is not null")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes but much work: not to be coalesced
     with Scratch(spark) as sc:
-        seeds = src.mapInArrow(_seeds, "key long, _id long, pos int, " + ", ".join(f"{c} int" for c in AROUND))
-        by = lambda *c: Window.partitionBy("key", *c).orderBy("_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        first, whole = F.first(F.struct("_id", "pos")), by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        hit = seeds.select("*", first.over(by()).alias("f"), F.last("_id").over(whole).alias("z")).where("f._id <> z").drop("z")
-        for c in AROUND:  # all in the partitions of the key
-            hit = hit.withColumn(f"f_{c}", F.when(F.col(c).isNotNull(), first.over(by(c))))
-        hit = hit.select("_id", "pos", F.explode(F.array_distinct(F.array("f", *[f"f_{c}" for c in AROUND]))).alias("f")).where("f._id <> _id")
-        pairs = hit.groupBy(F.col("f._id").alias("a"), F.col("_id").alias("b")).agg(F.collect_set(F.struct(F.col("f.pos").alias("x"), F.col("pos").alias("y"))).alias("m"))
+        pairs = first_matches(sc, src, hot).groupBy("a", "b").agg(F.collect_set(F.struct("x", "y")).alias("m"))
         chained = sc.table(pairs.where(f"size(m) >= {MIN_SEEDS}").repartition(tasks, "a", "b").mapInArrow(_chain, "a long, b long, n int, xa array<int>, xb array<int>"))
         ask = lambda side, doc, xs: F.struct("a", "b", "n", F.lit(side).alias("side"), doc.alias("_id"), (xs[0] - MARGIN).alias("lo"), (F.element_at(xs, -1) + K + MARGIN).alias("hi"))
         asked = chained.select(F.explode(F.array(ask(0, F.col("a"), F.col("xa")), ask(1, F.col("b"), F.col("xb")))).alias("q")).select("q.*")
-        asked = sc.table(asked.groupBy("_id").agg(F.collect_list(F.struct("a", "b", "n", "side", "lo", "hi")).alias("asked")))
+        asked = sc.table(asked)
+        times = sc.table(asked.groupBy("_id").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("parts")))
+        salted = asked.join(small_side(times), "_id").withColumn("part", F.pmod(F.xxhash64("a", "b", "n"), F.col("parts")))
+        asked = sc.table(salted.groupBy("_id", "part").agg(F.collect_list(F.struct("a", "b", "n", "side", "lo", "hi")).alias("asked")).drop("part"))
         rows = asked.agg(F.sum(F.size("asked"))).first()[0] or 0
         cut = src.join(small_side(asked, rows), "_id").select("text", "asked").mapInArrow(_pieces, "a long, b long, n int, side int, lo int, h binary")
         side = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))

@@ -130,3 +130,57 @@ def test_edges(spark, edge, empty):
     kept = cut_passages(spark, edge)
     assert kept.count() == edge.count() - 1 and kept.where("doc_id = 8").count() == 0 and kept.where("doc_id = 2 and text is null").count() == 1
     assert shared_passages(spark, empty).count() == 0 and cut_passages(spark, empty).count() == 0
+
+
+def covered_runs(words, found, least):
+    """(words of later documents in runs of at least least words that an earlier one has too, those of them that are reported)."""
+    total = hit = 0
+    for d in words:
+        shared = np.zeros(len(words[d]), bool)
+        for a in (a for a in words if a < d):
+            at = {}
+            for i in range(len(words[a]) - least + 1):
+                at.setdefault(tuple(words[a][i : i + least]), i)
+            for j in range(len(words[d]) - least + 1):
+                if tuple(words[d][j : j + least]) in at:
+                    shared[j : j + least] = True
+        told = np.zeros(len(words[d]), bool)
+        for lo, hi in found.get(d, []):
+            told[lo:hi] = True
+        total, hit = total + int(shared.sum()), hit + int((shared & told).sum())
+    return total, hit
+
+
+def test_equal_runs_are_found_whatever_parts_of_them_stand_in_earlier_documents(spark):
+    """Against all pairs of documents: the texts hold parts of three long texts, so parts of every passage are in many documents."""
+    rng = random.Random(8)
+    long = [[prose(9400 + 20 * k + i, rng.randrange(12, 40)) for i in range(12)] for k in range(3)]
+
+    def part():
+        at = rng.randrange(11)
+        return " ".join(rng.choice(long)[at : at + rng.randrange(1, 5)])
+
+    rows = [(i, " ".join([part(), prose(10_000 + i, 20), part(), prose(11_000 + i, 20)])) for i in range(120)]
+    words = {d: t.split() for d, t in rows}
+    for hot in (1 << 20, 4):
+        found = {}
+        for r in shared_passages(spark, table(spark, rows), hot).collect():
+            found.setdefault(r["doc_id"], []).append((r["first_word"], r["end_word"]))
+            assert r["source_doc_id"] < r["doc_id"]
+        total, hit = covered_runs(words, found, 58)
+        assert total > 1000 and hit >= 0.99 * total
+
+
+def test_runs_of_one_word_are_no_passage(spark):
+    rows = [(i, f"{prose(20 + i, 40)} {'the ' * 90} {prose(40 + i, 40)}") for i in range(4)]
+    assert shared_passages(spark, table(spark, rows)).count() == 0
+
+
+def test_many_partners_of_one_document(spark, monkeypatch):
+    from sievework.llm import passages
+
+    monkeypatch.setattr(passages, "ASKED", 3)
+    p = prose(9500, 70)
+    rows = [(i, f"{prose(600 + i, 30)} {p} {prose(700 + i, 30)}") for i in range(25)]
+    got = shared_passages(spark, table(spark, rows)).toPandas()
+    assert set(got["doc_id"]) == set(range(1, 25)) and (got["end_word"] - got["first_word"] >= 60).all() and set(got.loc[got["source_doc_id"] == 0, "doc_id"]) == set(range(1, 25))
