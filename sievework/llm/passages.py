@@ -111,13 +111,23 @@ def _seeds(batches):
         turn = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
         again = np.flatnonzero(turn)  # also under turn 0, which alone has the seeds around
         h = np.concatenate([mix(h + turn.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), mix(h[again])])
-        near = [pa.array(np.concatenate([v[order], v[order[again]]]), mask=np.concatenate([~has[order] | (turn > 0), ~has[order[again]]])) for v, has in near]
-        far = [pa.array(np.concatenate([v[order], v[order[again]]]).astype(np.int16)) for v in far]
-        doc, pos = np.concatenate([doc, doc[again]]), np.concatenate([pos, pos[again]])
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ints(b, "_id")[doc]), pa.array(pos, pa.int32()), *near, *far], ["key", "_id", "pos", *AROUND, "far_after", "far_before"])
+        none = np.concatenate([turn > 0, np.zeros(len(again), bool)])
+        every = np.concatenate([order, order[again]])
+        near = [np.where(has[every] & ~none, np.maximum(v[every].view(np.uint32), 1), 0).astype(np.uint64) for v, has in near]
+        place = pos.astype(np.int64)
+        place, doc = np.concatenate([place, place[again]]) << 32 | far[0][every] << 16 | far[1][every], np.concatenate([doc, doc[again]])
+        pair = lambda x, y: pa.array((x << U64(32) | y).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ints(b, "_id")[doc]), pa.array(place), pair(*near[:2]), pair(*near[2:])], ["key", "_id", "place", "near", "wide"])
 
 
-SEED = "key long, _id long, pos int, " + ", ".join(f"{c} int" for c in AROUND) + ", far_after short, far_before short"
+SEED = "key long, _id long, place long, near long, wide long"  # small rows: most of what is shuffled
+
+
+def _unpacked(seeds: DataFrame) -> DataFrame:
+    bits = lambda c, by, mask: F.shiftright(c, by).bitwiseAND(F.lit(mask))
+    half = {"near_after": ("near", 32), "near_before": ("near", 0), "wide_after": ("wide", 32), "wide_before": ("wide", 0)}
+    around = [F.nullif(bits(c, by, 0xFFFFFFFF), F.lit(0)).alias(name) for name, (c, by) in half.items()]
+    return seeds.select("key", "_id", F.shiftright("place", 32).cast("int").alias("pos"), *around, bits("place", 16, 0xFFFF).cast("int").alias("far_after"), bits("place", 0, 0xFFFF).cast("int").alias("far_before"))
 
 
 def _hot(sc: Scratch, src: DataFrame, hot: int) -> DataFrame | None:
@@ -148,7 +158,7 @@ def first_matches(sc: Scratch, src: DataFrame, hot: int = HOT) -> DataFrame:
     def windowed(rows: DataFrame) -> DataFrame:
         by = lambda *c: Window.partitionBy("key", *c).orderBy("_id", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         whole = by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        hit = rows.select("*", F.first(head).over(by()).alias("f"), F.last("_id").over(whole).alias("z")).where("f._id <> z").drop("z")
+        hit = _unpacked(rows.repartition("key")).select("*", F.first(head).over(by()).alias("f"), F.last("_id").over(whole).alias("z")).where("f._id <> z").drop("z")
         for c in AROUND:  # all in the partitions of the key
             hit = hit.withColumn(f"f_{c}", F.when(F.col(c).isNotNull(), F.first(head).over(by(c))))
         return hit.withColumn("f_last", F.lag(head).over(Window.partitionBy("key").orderBy("_id", "pos")))
@@ -165,9 +175,9 @@ def first_matches(sc: Scratch, src: DataFrame, hot: int = HOT) -> DataFrame:
         hit = windowed(seeds)
     else:
         keys = small_side(keys)
-        hit = windowed(seeds.join(keys, "key", "left_anti")).unionByName(joined(sc.table(seeds.join(keys, "key", "left_semi"))))
+        hit = windowed(seeds.join(keys, "key", "left_anti")).unionByName(joined(sc.table(_unpacked(seeds.join(keys, "key", "left_semi")))))
     point = lambda f, d: F.struct(F.col(f"{f}._id").alias("a"), (F.col(f"{f}.pos") + d).alias("x"), (F.col("pos") + d).alias("y"))
-    far = lambda c, sign: [point(f"f_wide_{c}", sign * F.shiftright(F.col(f"far_{c}").cast("int"), 8)), point(f"f_wide_{c}", sign * F.col(f"far_{c}").bitwiseAND(255).cast("int"))]
+    far = lambda c, sign: [point(f"f_wide_{c}", sign * F.shiftright(f"far_{c}", 8)), point(f"f_wide_{c}", sign * F.col(f"far_{c}").bitwiseAND(F.lit(255)))]
     points = F.array(*[point(f, F.lit(0)) for f in ("f", "f_last", *[f"f_{c}" for c in AROUND])], *far("after", 1), *far("before", -1))
     return hit.select(F.col("_id").alias("b"), F.explode(F.array_distinct(points)).alias("m")).where("m.a <> b").select("m.a", "b", "m.x", "m.y")
 
