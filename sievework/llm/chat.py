@@ -23,7 +23,9 @@ def expand(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     text, nulls first; example counts a conversation's examples from 0. The assistant is found by the
     trimmed, lower-cased role. A null role is rendered as user, a null text as empty; an assistant turn with a null or empty
     text is context but no example. Rows with a null conv_id belong to no conversation and are
-    left out. Rows that are repeated are turns of their own. Other columns are not read.
+    left out. Rows that are repeated are turns of their own. Very long texts are whole; the context of a reply is one string, so a conversation must fit in a task. The marks
+    inside a role or text are kept as they are: who trains on prompt || completion must escape them before if texts may hold them. An empty table gives an empty
+    result. Other columns are not read.
     """
     turns = conversations.where("conv_id is not null").select("conv_id", "turn", "role", "text")
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())

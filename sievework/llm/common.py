@@ -234,7 +234,7 @@ class Scratch:
             self._fs(path).delete(path, True)
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -245,10 +245,11 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows; else df, which is then joined by a
-    shuffle. df must be a written table of a few numbers a row."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, a written table, with a broadcast hint if its files hold at most most bytes and limit rows; else df, which is
+    then joined by a shuffle."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(size) <= most and (df.count() if rows is None else rows) <= limit else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -161,7 +161,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float
     """(doc_id, p_quality, kept) for every row of docs, repeated rows and null doc_ids too; kept is p_quality >= cut.
 
     Null and empty texts have no words and statistics of 0; a null lang or source is a value of its own. Without
-    labels of both classes all rows get the same p_quality. Other columns are not read; an empty table gives an empty result."""
+    labels of both classes all rows get the same p_quality. Very long texts are read to their end. Other columns are not read; an empty table gives an empty result."""
     p = scorer(spark, fit(spark, docs, labels))(docs["text"], docs["lang"], docs["source"])
     return docs.select("doc_id", p.alias("p_quality")).withColumn("kept", F.col("p_quality") >= cut)
 

@@ -3,7 +3,8 @@
 Records lie in archives one after the other, each at an offset and with a length. The leaf of a record is the
 SHA-256 of its offset, length and bytes. A node of the next level is the SHA-256 of FANOUT consecutive child hashes
 and the offset range they cover; levels go on to one root an archive. Two replicas are compared from the roots down, and
-of each level only the children of nodes that differ are read.
+of each level only the children of nodes that differ are compared. A leaf holds its offset, so one changed length makes every later leaf
+of its archive differ: the descent then goes through all of these, and reports only records that have no equal.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 from .common import Scratch, read, small_side
 
 FANOUT, RECORDS = 16, 4096  # children of a node; records of an archive
+DATE = "2024-01-01T00:00:00Z"  # pages have none
 
 
 def records(pages: DataFrame, per_archive: int = RECORDS) -> DataFrame:
-    """(archive, page_id, body): a WARC response record for each page that has a page_id, in archives of
-    per_archive consecutive page_ids. Null url or html counts as empty."""
-    text = F.coalesce("html", F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"))
+    """(archive, page_id, body): a WARC resource record for each page that has a page_id, in archives of
+    per_archive consecutive page_ids. Null url or html counts as empty. The record's UUID is the MD5 of page_id and url, its date DATE."""
+    text, url = F.coalesce("html", F.lit("")), F.coalesce("url", F.lit(""))
+    name = F.regexp_replace(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), url).cast("binary")), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), name, F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(text).cast("string"), F.lit("\r\n\r\n"))
     rows = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.concat(head, text, F.lit("\r\n\r\n")).alias("body"))
     rows = rows.withColumn("archive", F.floor(F.col("page_id") / per_archive).cast("long"))
     return rows
@@ -61,7 +64,8 @@ def audit(spark: SparkSession, one: DataFrame, two: DataFrame, fanout: int = FAN
     one, two: (archive, page_id, body). state is 'corrupt' (both replicas have the page_id, with different bytes), 'missing' (only one
     has it) or 'extra' (only two has it); offset and length are those in one, for extra ones those in two. Records that only moved because
     of a change of length before them are not reported. Of repeated records the surplus of either
-    side is reported. An empty replica makes all records of the other missing or extra; two empty ones give an empty result.
+    side is reported. Null bodies are an error of the caller (records() has none); very long ones are hashed whole where they are read, and only
+    hashes are shuffled. Other columns are not read. An empty replica makes all records of the other missing or extra; two empty ones give an empty result.
     """
     with Scratch(spark) as sc:
         a, b = tree(sc, one, fanout), tree(sc, two, fanout)
@@ -107,7 +111,9 @@ def replica(pages: DataFrame) -> DataFrame:
     return rows.unionByName(pages.where(mark == "03").select("page_id", "url", F.lit("added").alias("html")))
 
 
-_BODY = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
+_CRLF = "chr(13) || chr(10)"
+_UUID = "regexp_replace(md5(page_id || '|' || coalesce(url, '')), '^(.{8})(.{4})(.{4})(.{4})', '\\1-\\2-\\3-\\4-')"
+_BODY = f"'WARC/1.1' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:uuid:' || {_UUID} || '>' || {_CRLF} || 'WARC-Date: {DATE}' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF} || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} || coalesce(html, '') || {_CRLF} || {_CRLF}"
 _LAID = f"select page_id, h, n, sum(n) over (partition by page_id // {RECORDS} order by page_id, h rows between unbounded preceding and current row) - n lo, row_number() over (partition by page_id, h) c from (select page_id, sha256(body) h, strlen(body) n from (select page_id, {_BODY} body from %s where page_id is not null))"
 SQL = f"""
 with m as (select page_id, url, html, substr(md5(cast(page_id as varchar)), 1, 2) k from pages),

@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import base64
-import os
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +32,11 @@ class Encoder:
     characters, where the tokenizer's own pattern always cuts too, and every distinct piece is
     encoded once and remembered (the memory is emptied at CACHE pieces), so the ids are those of encoding the whole text."""
 
-    def __init__(self, path: str):
-        import public_tokenizers
+    def __init__(self, vocabulary: bytes, pattern: str):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        self.bpe = tiktoken.Encoding("mixing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
     def clear(self) -> None:
@@ -99,18 +96,27 @@ class Encoder:
         return self.pool[pick], total[np.searchsorted(start, buf.at)]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[int, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def tokenizer_of(path: str) -> tuple[bytes, str]:
+    """(vocabulary file, pattern), read on the driver and sent to the workers: a few MB, whatever the corpus."""
+    import public_tokenizers
 
+    with open(path, "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
 
-def _tokenise(path: str, end: int):
+
+def encoder(shared) -> Encoder:
+    name = hash(shared.value)
+    if name not in _encoders:
+        _encoders[name] = Encoder(*shared.value)
+    return _encoders[name]
+
+
+def _tokenise(shared, end: int):
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(shared)
         for b in slices(batches, "text", 1 << 18):
             ids, lo = enc(col(b, "text"))
             mark = np.array([end], np.uint16).tobytes()
@@ -128,7 +134,8 @@ def starts(sc: Scratch, sizes: DataFrame, group: str, order: list[str], value: s
     ranged = sc.table(ranged)
     inner = Window.partitionBy("_p", group).orderBy(*order)
     before = ranged.groupBy("_p", group).agg(F.sum(value).alias("_t")).withColumn("_b", F.sum("_t").over(Window.partitionBy(group).orderBy("_p")) - F.col("_t")).drop("_t")
-    return ranged.withColumn("_s", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)).join(F.broadcast(before), ["_p", group]).withColumn("start", F.col("_s") + F.col("_b")).drop("_s", "_b", "_p")
+    before = small_side(sc.table(before))  # a row for each partition and group in it
+    return ranged.withColumn("_s", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)).join(before, ["_p", group]).withColumn("start", F.col("_s") + F.col("_b")).drop("_s", "_b", "_p")
 
 
 def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -218,11 +225,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: dict[str, float]
     the rest are scaled to 1. None gives equal weights. tokens is a binary of length little-endian uint16
     ids, doc_ids the documents in the block, in order. A null source is the source ''. Null or empty texts have no
     tokens; rows with a null doc_id come first in their source and give no doc_id; repeated rows count each. The result doesn't depend on the partitioning.
-    An empty table gives an empty result."""
+    Very long texts are encoded whole. Only doc_id, source and text are read. An empty table gives an empty result."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(docs["source"], F.lit("")).alias("source"), F.xxhash64(docs["text"]).alias("tie"), docs["text"].alias("text")).where("text is not null and text <> ''")
     with Scratch(spark) as sc:
-        tokens = sc.result(src.mapInArrow(_tokenise(tokenizer, END), "_id long, source string, tie long, ids binary"))
+        shared = spark.sparkContext.broadcast(tokenizer_of(tokenizer))
+        tokens = sc.result(src.mapInArrow(_tokenise(shared, END), "_id long, source string, tie long, ids binary"))
         sizes = tokens.select("_id", "source", "tie", (F.octet_length("ids") / 2).cast("long").alias("n"))
         one = sizes.groupBy("source", "_id", "tie").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
         at = sc.result(starts(sc, one, "source", ["_id", "tie"], "n", tasks))

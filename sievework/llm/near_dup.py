@@ -87,7 +87,7 @@ def _sign(batches):
         begin = w.lo[:-1][has]
         whole = np.add.reduceat(weight, begin)
         other = np.bitwise_xor.reduceat(weight * U64(0x9E3779B97F4A7C15), begin) + w.count[has].astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(ints(b, "_id")[has]), pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), lists(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1], pa.int64())], ["_id", "h1", "h2", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array(ints(b, "_id")[has]), pa.array(ints(b, "_mark")[has]), pa.array(whole.view(np.int64)), pa.array(other.view(np.int64)), lists(sig.ravel(), np.arange(len(sig) + 1) * sig.shape[1], pa.int64())], ["_id", "_mark", "h1", "h2", "sig"])
 
 
 def _sets(batches):
@@ -112,10 +112,16 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["a", "b", "jaccard"])
 
 
-def verify(sc: Scratch, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, jaccard) of each pair. docs: _id, text; pairs: written table of distinct (a, b)."""
-    ids = sc.table(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
-    sets = sc.table(docs.join(small_side(ids), "_id", "left_semi").mapInArrow(_sets, "_id long, s binary"))
+def _least_of_equal(sc: Scratch, one: DataFrame) -> DataFrame:
+    """(_id, _mark, rep): the least _id of the same words in order. A text that a third of all documents have is summed up before the shuffle."""
+    least = sc.table(one.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return one.join(small_side(least), ["h1", "h2"], "left").select("_id", "_mark", F.coalesce("rep", "_id").alias("rep"))
+
+
+def verify(sc: Scratch, docs: DataFrame, pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(a, b, jaccard) of each pair. docs: _id, _mark, text; pairs: written table of distinct (a, b); chosen: the _mark of each _id that counts."""
+    ids = sc.table(chosen.join(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "_id", "left_semi"))
+    sets = sc.table(docs.join(small_side(ids), ["_id", "_mark"], "left_semi").mapInArrow(_sets, "_id long, s binary"))
     turn = F.row_number().over(Window.partitionBy("a").orderBy("b"))
     salted = pairs.select("a", "b", F.floor((turn - 1) / RUN).alias("salt"))
     members = salted.join(sets.select(F.col("_id").alias("b"), "s"), "b").select("a", "salt", F.col("b").alias("m"), "s")
@@ -131,22 +137,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
     least threshold; groups are the connected components, keeper the least doc_id of the group.
     Documents whose words are equal in order are copies whatever their case, punctuation or spaces.
     Documents without words (null, empty, only punctuation) and rows without doc_id are in no group.
-    Rows that repeat a doc_id are one document; of differing texts under one id one is used. Only doc_id and text are
+    Rows that repeat a doc_id are one document; of differing texts under one id that of the least hashes is used. Very long texts are compared whole. Only doc_id and text are
     read, so other columns may have any name. An empty table gives an empty result.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text")).where("_id is not null and text is not null")
+    return _groups(spark, docs, threshold).drop("_mark")
+
+
+def _groups(spark: SparkSession, docs: DataFrame, threshold: float) -> DataFrame:
+    """The same with _mark, a hash of the text that was used."""
+    src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(docs["text"]).alias("_mark"), F.col("text").alias("text")).where("_id is not null and text is not null")
     with Scratch(spark) as sc:
-        sig = sc.table(src.mapInArrow(_sign, "_id long, h1 long, h2 long, sig array<long>"))
-        one = sig.groupBy("_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("_id", "h.*")
-        same = sc.table(one.withColumn("rep", F.min("_id").over(Window.partitionBy("h1", "h2"))).select("_id", "rep"))
-        reps = sig.join(same.where("_id = rep"), "_id", "left_semi").dropDuplicates(["_id"]).select("_id", F.posexplode("sig").alias("slot", "val"))
+        sig = sc.table(src.mapInArrow(_sign, "_id long, _mark long, h1 long, h2 long, sig array<long>"))
+        one = sig.groupBy("_id").agg(F.min(F.struct("h1", "h2", "_mark")).alias("h")).select("_id", "h.*")
+        same = sc.table(_least_of_equal(sc, one))
+        chosen = same.select("_id", "_mark")
+        reps = sig.join(same.where("_id = rep"), ["_id", "_mark"], "left_semi").dropDuplicates(["_id"]).select("_id", F.posexplode("sig").alias("slot", "val"))
         shared = reps.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("val"))).where("n > 1")
         pick = lambda cond: F.collect_list(F.when(cond, F.col("val")))
         keys = sc.table(shared.groupBy("_id").agg(pick(F.col("slot") < SIDE).alias("x"), pick(F.col("slot") >= SIDE).alias("y")).where("size(x) > 0 and size(y) > 0"))
         rows = keys.select("_id", F.explode("x").alias("x"), "y").select("_id", "x", F.explode("y").alias("y")).select("_id", F.xxhash64("x", "y").alias("key"))
         star = rows.withColumn("a", F.min("_id").over(Window.partitionBy("key"))).where("a <> _id").select("a", F.col("_id").alias("b")).distinct()
         tried = sc.table(star)
-        checked = sc.table(verify(sc, src, tried))
+        checked = sc.table(verify(sc, src, tried, chosen))
         edges = checked.where(F.col("jaccard") >= threshold).select("a", "b")
         root = components(sc, edges).withColumnRenamed("node", "_id")
         rooted = sc.table(rows.join(root, "_id", "left").select("key", F.coalesce("root", "_id").alias("root"), "_id"))
@@ -156,19 +168,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = THR
         cross = left.join(right, "key").where("r1 < r2").select(F.explode("i1").alias("p"), "i2").select("p", F.explode("i2").alias("q")).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
         more = sc.table(cross.distinct().join(tried, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            edges = edges.unionByName(verify(sc, src, more).where(F.col("jaccard") >= threshold).select("a", "b"))
+            edges = edges.unionByName(verify(sc, src, more, chosen).where(F.col("jaccard") >= threshold).select("a", "b"))
         copies = same.where("_id <> rep").select(F.col("rep").alias("a"), F.col("_id").alias("b"))
         all_edges = sc.table(edges.unionByName(copies))
         root = sc.table(components(sc, all_edges))
         sized = root.join(root.groupBy("root").agg(F.count(F.lit(1)).alias("group_size")), "root")
-        return sc.result(sized.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"), (F.col("node") == F.col("root")).alias("kept"), "group_size"))
+        marked = sized.join(chosen, F.col("node") == F.col("_id"))
+        return sc.result(marked.select(F.col("node").alias("doc_id"), F.col("root").alias("keeper"), (F.col("node") == F.col("root")).alias("kept"), "group_size", "_mark"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents of a group other than its keeper; columns and other rows as they are."""
-    name = free_name(docs, "_gone")
-    gone = near_duplicates(spark, docs, threshold).where("not kept").select(F.col("doc_id").alias(name))
-    return docs.join(small_side(gone), docs["doc_id"] == F.col(name), "left_anti")
+    """docs without the documents of a group other than its keeper; columns and other rows as they are.
+
+    A row goes if its doc_id and text are those of such a document, so of differing texts under one doc_id only the one that was compared can go. Repeated rows go or stay
+    together. Rows with a null doc_id and texts without words (null, empty) stay. An empty table gives an empty result."""
+    name, mark = free_name(docs, "_gone"), free_name(docs, "_mark")
+    gone = _groups(spark, docs, threshold).where("not kept").select(F.col("doc_id").alias(name), F.col("_mark").alias(mark))
+    return docs.join(small_side(gone), (docs["doc_id"] == F.col(name)) & (F.xxhash64(docs["text"]) == F.col(mark)), "left_anti")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

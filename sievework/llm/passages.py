@@ -319,7 +319,7 @@ def shared_passages(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> Dat
     A passage has at least MIN_WORDS words in both and a word identity of at least MIN_IDENTITY. One that lies in another
     that doc_id shares with the same source isn't reported again.
     Case, punctuation and spaces don't count. Repeats inside one document aren't reported, and a run of one word over and over is no passage. Rows that repeat a doc_id are
-    taken as one document. Null or empty texts and null doc_ids have no passages; an empty table gives an empty result. Only doc_id
+    taken as one document. Very long texts are searched to their end. Null or empty texts and null doc_ids have no passages; an empty table gives an empty result. Only doc_id
     and text are read.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("text")).where("_id is not null and text is not null")
@@ -368,7 +368,8 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 def cut_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with every shared passage cut from all documents but its source, n_chars (if there) set anew.
 
-    Documents of which no word is left go; all others stay, untouched ones as they are."""
+    Documents of which no word is left go; all others stay, untouched ones as they are. Every row of a repeated doc_id is cut at the same words. Rows with a null
+    doc_id and null, empty or short texts stay as they are, very long ones are cut up to their end. An empty table gives an empty result."""
     key, cuts, new = (free_name(docs, c) for c in ("_cut_id", "_spans", "_new"))
     found = shared_passages(spark, docs)
     spans = found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("first_word", "end_word")).alias(cuts))

@@ -128,7 +128,7 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float
     """(doc_id, p_quality, kept) for every row of docs, repeated rows and null doc_ids too; kept is p_quality >= cut.
 
     Null and empty texts have statistics of 0. Without labels of both classes, or of fewer than 2 * LEAF documents, all rows get the
-    same p_quality. Other columns are not read; an empty table gives an empty result."""
+    same p_quality. Very long texts are read to their end. Other columns are not read; an empty table gives an empty result."""
     return docs.select("doc_id", scorer(spark, fit(spark, docs, labels))(docs["text"]).alias("p_quality")).withColumn("kept", F.col("p_quality") >= cut)
 
 

@@ -6,7 +6,9 @@ differ between the classes are kept, so most of a text has weight zero and lengt
 
 The labels are binary. Grades of severity come from them: 0 is not toxic; toxic documents get grade
 1, 2 or 3 by tertile of their number of indicative features per 100 words, a feature being
-indicative if its log odds ratio in the labelled sample is at least MIN_Z standard errors.
+indicative if its log odds ratio in the labelled sample is at least MIN_Z standard errors. So the grades say how much of a text is of the
+kind that the labels call toxic, and not how a person would rank it.
+The model has at most MAX_FEATURES features, those of the greatest |z|; the bound is on the fitted model, not on the rows.
 """
 
 from __future__ import annotations
@@ -108,11 +110,13 @@ def fit_ordinal(doc, key, x, grade, width, l2=2e-4, steps=400, rate=0.1):
 
 
 def sample_of(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, limit: int, *extra: str) -> DataFrame:
-    """(text, label, extra columns) of at most limit labelled documents, chosen by a hash of doc_id. Null labels are
-    left out; of several labels of a document the greatest counts."""
+    """(_id, text, label, extra columns): at most limit rows, one for each of the labelled documents that a hash of doc_id chooses. Null labels are
+    left out; of several labels of a document the greatest counts, of several rows the one of the least text."""
     some = labels.where(f"doc_id is not null and {label} is not null").groupBy(F.col("doc_id").cast("long").alias("_l")).agg(F.max(label).cast("int").alias("_y"))
     some = some.orderBy(F.xxhash64("_l", F.lit(5)), "_l").limit(limit)
-    return docs.join(small_side(some, limit), docs["doc_id"] == some["_l"]).select(docs["doc_id"].cast("long").alias("_id"), docs["text"].alias("text"), some["_y"].alias(label), *[docs[c].alias(c) for c in extra])
+    rows = docs.join(small_side(some, limit), docs["doc_id"] == some["_l"])
+    one = F.struct(docs["text"].isNull().alias("_no"), docs["text"].alias("text"), some["_y"].alias(label), *[docs[c].alias(c) for c in extra])
+    return rows.select(docs["doc_id"].cast("long").alias("_id"), one.alias("_one")).groupBy("_id").agg(F.min("_one").alias("_one")).select("_id", "_one.*").drop("_no")
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
@@ -173,13 +177,15 @@ def scorer(spark: SparkSession, model: Model):
 
 def severity(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """(doc_id, expected_severity, p_toxic, grade, rejected) for every row of docs, repeated rows and
-    null doc_ids too; rejected is p_toxic >= cut. Other columns are not read."""
+    null doc_ids too; rejected is p_toxic >= cut. Null and empty texts have the score of a text without known features, very long ones are read to
+    their end. An empty table gives an empty result. Other columns are not read."""
     score = scorer(spark, fit(spark, docs, labels))
     return docs.select("doc_id", score(docs["text"]).alias("_s")).select("doc_id", "_s.*").withColumn("rejected", F.col("p_toxic") >= cut)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
-    """docs without the rejected rows, each judged on its own text; columns as they are."""
+    """docs without the rejected rows; columns as they are. Each row is judged on its own text, so repeated rows share their fate and a null doc_id
+    doesn't matter; null, empty and very long texts as in severity(). An empty table gives an empty result."""
     score = scorer(spark, fit(spark, docs, labels))
     return docs.where(score(docs["text"])["p_toxic"] < cut)
 

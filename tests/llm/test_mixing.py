@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import prose, table
 
-from sievework.llm.mixing import END, TOKENIZER, Encoder, draw, mix_sources, permute
+from sievework.llm.mixing import END, TOKENIZER, Encoder, draw, mix_sources, permute, tokenizer_of
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
 
@@ -26,7 +26,7 @@ def whole_text():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab1' .\n\t    éß漢🙂's"), max_size=30), min_size=1, max_size=4))
 def test_ids_are_those_of_the_whole_text(whole_text, texts):
-    enc = Encoder(TOKENIZER)
+    enc = Encoder(*tokenizer_of(TOKENIZER))
     ids, lo = enc(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(lo[:-1], lo[1:], strict=True)] == [whole_text.encode_ordinary(t) for t in texts]
 

@@ -63,3 +63,11 @@ def test_edges(spark, edge, empty):
     assert got == {7: 7, 8: 7}
     assert keep_one(spark, edge).count() == edge.count() - 1
     assert near_duplicates(spark, empty).count() == 0 and keep_one(spark, empty).count() == 0
+
+
+def test_of_differing_texts_under_one_id_only_the_one_that_was_compared_goes(spark):
+    rows = [(1, prose(1, 80)), (2, prose(1, 80)), (2, prose(2, 80)), (3, prose(2, 80)), (None, prose(1, 80)), (4, None), (4, "")]
+    docs = table(spark, rows)
+    left = sorted((r["doc_id"] or -1, r["text"] or "") for r in keep_one(spark, docs).collect())
+    gone = {r["doc_id"]: r["keeper"] for r in near_duplicates(spark, docs).where("not kept").collect()}
+    assert len(gone) == 1 and len(left) == len(rows) - 1 and {t for _, t in left} >= {prose(1, 80), prose(2, 80)}

@@ -41,3 +41,21 @@ def test_run_gives_blocks_of_what_is_left(spark, sf):
     got = corpus_pipeline.run(spark, sf).toPandas()
     ids = {i for row in got["doc_ids"] for i in row}
     assert len(got) > 0 and not ids & {*range(200, 230), *range(300, 310), 500} and (got["tokens"].map(len) == 2048).all()
+
+
+def test_no_documents_give_no_blocks(spark, sf, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        t = spark.read.parquet(f"{sf}/{name}.parquet")
+        (t.where("false") if name == "documents" else t).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_with_nulls_and_repeated_rows_pass(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 3")
+    odd = docs.unionByName(docs).unionByName(docs.selectExpr("cast(null as long) doc_id", "text", "cast(null as string) lang", "cast(null as string) source", "cast(null as long) n_chars"))
+    odd = odd.unionByName(docs.selectExpr("doc_id + 1000 doc_id", "cast(null as string) text", "lang", "source", "n_chars")).selectExpr("*", "1 as _mark", "2 as _spans")
+    kept = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = spark.createDataFrame(stage(spark, kept, sf).collect(), odd.schema)
+    assert kept.count() == odd.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf).count() > 0
