@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over documents; see STAGES. Part of the subpackage sievework.llm."""
+"""A corpus pipeline of five stages over documents; see STAGES. Part of the subpackage sievework.llm.
+
+What a stage does with nulls in any column, empty and very long texts, repeated rows and ties is said at the operator it calls. In short: rows with a null doc_id and
+null or empty texts pass the first four stages and give no tokens, except that a text cut to nothing goes; of rows that are repeated the copies share their fate; an empty table
+passes all stages and gives an empty result; further columns are carried to the last stage, which doesn't read them.
+"""
 
 from __future__ import annotations
 
