@@ -4,66 +4,87 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import is_number, number
-from ..sources.scratch import keep
+from ..sources.scratch import keep, small
 from .profile import _text
+from .ranking import row_numbers
+
+
+def _coded(df: DataFrame, column: str, into: str) -> DataFrame:
+    """df with the number of the column's value in their order, null for null."""
+    levels = keep(df.select(_text(df, column).alias("__v")).where("__v is not null").distinct())
+    coded = keep(row_numbers(levels, [], ["__v"]).select("__v", F.col("rn").cast("double").alias(into)))
+    return df.join(small(coded), _text(df, column) == F.col("__v"), "left").drop("__v")
 
 
 def _encoded(df: DataFrame, target: str, target_type: str, features: list[str]) -> DataFrame:
     """Numbers as they are and strings by the order of their values, nulls as the median; rows without a target are left out."""
-    y = number(target) if target_type == "regression" else F.dense_rank().over(Window.orderBy(_text(df, target))) - 1
-    labels = df.where(F.col(target).isNotNull())
-    if target_type != "regression":
-        levels = labels.select(_text(df, target).alias("__l")).distinct().select("__l", (F.row_number().over(Window.orderBy("__l")) - 1).cast("double").alias("__y"))
-        labels = labels.join(F.broadcast(levels), _text(df, target) == F.col("__l")).drop("__l")
-    else:
-        labels = labels.withColumn("__y", y)
+    rows = df.where(F.col(target).isNotNull())
+    rows = rows.withColumn("__y", number(target)) if target_type == "regression" else _coded(rows, target, "__y")
     cols = {}
-    for f in features:
+    for i, f in enumerate(features):
         if is_number(df.schema[f].dataType):
             cols[f] = number(f)
         else:
-            levels = labels.select(_text(df, f).alias(f"__v_{f}")).where(F.col(f"__v_{f}").isNotNull()).distinct()
-            coded = levels.withColumn(f"__c_{f}", F.row_number().over(Window.orderBy(f"__v_{f}")).cast("double"))
-            labels = labels.join(coded, _text(df, f) == F.col(f"__v_{f}"), "left").drop(f"__v_{f}")
-            cols[f] = F.col(f"__c_{f}")
-    wide = keep(labels.select(F.col("__y").alias("label"), *[c.alias(f"x{i}") for i, c in enumerate(cols.values())]))
+            rows = _coded(rows, f, f"__c_{i}")
+            cols[f] = F.col(f"__c_{i}")
+    wide = keep(rows.select(F.col("__y").alias("label"), *[c.alias(f"x{i}") for i, c in enumerate(cols.values())]))
     medians = wide.agg(*[F.percentile_approx(f"x{i}", 0.5).alias(f"x{i}") for i in range(len(features))]).first()
     return wide.na.fill({f"x{i}": float(medians[f"x{i}"] or 0.0) for i in range(len(features))})
 
 
+COPIES = 5  # at least so many shuffled columns compete
+
+
+def _shuffled(columns: list[str], seed: int):
+    """Copies of columns (s0, s1, ...), shuffled within each batch of rows. The rows lie in an order that has nothing to do with their values."""
+
+    def run(batches):
+        for b in batches:
+            rng = np.random.default_rng([seed, b.column(b.schema.get_field_index("rn"))[0].as_py() if b.num_rows else 0])
+            copies = [b.column(b.schema.get_field_index(c)).take(pa.array(rng.permutation(b.num_rows))) for c in columns]
+            yield pa.RecordBatch.from_arrays([*b.columns, *copies], [*b.schema.names, *[f"s{i}" for i in range(len(columns))]])
+
+    return run
+
+
 def _binomial_tail(hits: int, n: int) -> float:
     return sum(math.comb(n, k) for k in range(hits, n + 1)) / 2**n
 
 
-def crosscheck(df: DataFrame, features, target, target_type, seed: int = 42, rounds: int = 20, trees: int = 50, depth: int = 5, alpha: float = 0.05) -> dict[str, str]:
+def crosscheck(df: DataFrame, features, target, target_type, seed: int = 42, rounds: int = 40, trees: int = 200, depth: int = 5, alpha: float = 0.05) -> dict[str, str]:
     """feature -> confirmed, tentative or rejected. In each round the columns still open compete with shuffled copies: a hit
     is an importance over the best copy's. Hits are held against a fair coin, two-sided, corrected for the number of columns.
 
-    A copy takes its values from another row by a sort on a hash: all copies of a round are shuffled by one join on row numbers."""
+    Rows are laid out once by a hash of their values; a round's copies are shuffled inside batches of that layout and written, so no round shuffles the table."""
     if not features:
         return {}
     wide = _encoded(df, target, target_type, features)
-    from .ranking import row_numbers
-
-    rows = keep(row_numbers(wide.withColumn("__h", F.xxhash64("label", *[f"x{i}" for i in range(len(features))], F.monotonically_increasing_id())), [], ["__h"]).drop("__h"))
+    xs = [f"x{i}" for i in range(len(features))]
+    mixed = wide.withColumn("__h", F.xxhash64("label", *xs, F.lit(seed)))
+    rows = keep(row_numbers(mixed, [], ["__h", "label", *xs]).drop("__h"))
     hits, played, status = dict.fromkeys(features, 0), 0, {}
     for r in range(rounds):
         open_ = [f for f in features if status.get(f) != "rejected"]
         if not open_ or all(f in status for f in features):
             break
-        at = {f: f"x{features.index(f)}" for f in open_}
-        order = F.xxhash64("rn", F.lit(seed), F.lit(r))
-        mixed = row_numbers(rows.select(*[F.col(c).alias(f"s_{c}") for c in at.values()], order.alias("__o")), [], ["__o"]).drop("__o")
-        data = VectorAssembler(inputCols=[*at.values(), *[f"s_{c}" for c in at.values()]], outputCol="features").transform(rows.join(mixed, "rn"))
-        kind = RandomForestRegressor if target_type == "regression" else RandomForestClassifier
-        model = kind(numTrees=trees, maxDepth=depth, seed=seed + r, cacheNodeIds=False, featureSubsetStrategy="sqrt").fit(data.select("features", "label"))
+        at = [f"x{features.index(f)}" for f in open_]
+        some = rows.select("rn", "label", *at)
+        copied = at * -(-COPIES // len(at)) if len(at) < COPIES else at
+        names = [f"s{i}" for i in range(len(copied))]
+        kind = T.StructType([*some.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+        data = VectorAssembler(inputCols=[*at, *names], outputCol="features").transform(keep(some.mapInArrow(_shuffled(copied, seed + r), kind)))
+        forest = RandomForestRegressor if target_type == "regression" else RandomForestClassifier
+        model = forest(numTrees=trees, maxDepth=depth, seed=seed + r, cacheNodeIds=False, featureSubsetStrategy="sqrt").fit(data.select("features", "label"))
         importance = model.featureImportances.toArray()
         best = importance[len(open_) :].max()
         played += 1

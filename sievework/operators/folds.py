@@ -6,13 +6,12 @@ before it. The order of rows within a class comes from an MD5 of seed and key, s
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import keep
+from ..sources.scratch import keep, small
 from .ranking import row_numbers
 
 
@@ -60,7 +59,7 @@ def make_folds(df: DataFrame, strategy: str, k: int = 5, *, key: str = "row_key"
         made = numbered.select("row_key", F.when(F.col("rn") < first, 0).otherwise(F.floor((F.col("rn") - first) / max(test, 1)) + 1).cast("int").alias("fold"))
     elif strategy == "grouped":
         _needs(group, "grouped folds need a group column")
-        made = _grouped(df.select(F.col(key).alias("row_key"), F.col(group).alias("g")), k, seed)
+        made = _grouped(df.select(F.col(key).alias("row_key"), F.col(group).alias("g")), k)
     elif strategy == "stratified":
         _needs(target, "stratified folds need a target column")
         rows = df.select(F.col(key).alias("row_key"), F.coalesce(F.col(target).cast("string"), F.lit("\0")).alias("c"), mixed.alias("h"))
@@ -75,23 +74,35 @@ def _needs(column: str | None, message: str) -> None:
         raise ValueError(message)
 
 
-MANY_GROUPS = 100_000
+def _dealt(load: list[int], size: int, groups: int) -> list[int]:
+    """How many of equal groups each fold gets if they go one by one to the fold with the fewest rows, the first of equal ones."""
+    below = lambda level: [max(0, -(-(level - v) // size)) for v in load]  # noqa: E731  so many of a fold's turns come under a level
+    lo, hi = min(load), max(load) + size * (groups + 1)
+    while hi - lo > 1:
+        middle = (lo + hi) // 2
+        lo, hi = (middle, hi) if sum(below(middle)) <= groups else (lo, middle)
+    out = below(lo)
+    rest = groups - sum(out)
+    for f in sorted(range(len(load)), key=lambda f: (load[f] + size * out[f], f))[:rest]:
+        out[f] += 1
+    return out
 
 
-def _grouped(rows: DataFrame, k: int, seed: int) -> DataFrame:
-    """Groups stay whole. The MANY_GROUPS largest are dealt out on the driver, each to the fold with the fewest rows; the
-    others, which are small against a fold, by a hash."""
+def _grouped(rows: DataFrame, k: int) -> DataFrame:
+    """Groups stay whole and go, the largest first, each to the fold with the fewest rows. Groups of one size are alike, so the driver deals only the distinct
+    sizes, of which n rows can't have more than the root of 2n; within a size, groups are numbered and the first go to the first fold."""
     sizes = keep(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
-    load = [(0, f) for f in range(1, k + 1)]
-    dealt = []
-    for r in sizes.orderBy(F.col("n").desc(), "g").limit(MANY_GROUPS).collect():
-        n, f = heapq.heappop(load)
-        dealt.append((r["g"], f))
-        heapq.heappush(load, (n + r["n"], f))
-    table = rows.sparkSession.createDataFrame(dealt, f"g {dict(rows.dtypes)['g']}, fold int")
-    hashed = (F.pmod(F.xxhash64("g", F.lit(seed)), F.lit(k)) + 1).cast("int")
-    found = rows.join(F.broadcast(table.withColumnRenamed("g", "__g")), F.col("g").eqNullSafe(F.col("__g")), "left")
-    return found.select("row_key", F.coalesce("fold", hashed).alias("fold"))
+    load, ranges = [0] * k, []
+    for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).orderBy(F.col("n").desc()).collect():
+        at = 0
+        for f, m in enumerate(_dealt(load, r["n"], r["m"])):
+            if m:
+                ranges.append((r["n"], at, at + m, f + 1))
+            at, load[f] = at + m, load[f] + r["n"] * m
+    spark = rows.sparkSession
+    table = small(keep(spark.createDataFrame(ranges, "n long, lo long, hi long, fold int")))
+    numbered = row_numbers(sizes, ["n"], ["g"]).join(table, "n").where("rn >= lo and rn < hi").select(F.col("g").alias("__g"), "fold")
+    return rows.join(numbered, F.col("g").eqNullSafe(F.col("__g"))).select("row_key", "fold")
 
 
 def fold_positives(df: DataFrame, folds: Folds, target: str, positive=None, key: str = "row_key") -> DataFrame:

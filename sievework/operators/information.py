@@ -89,7 +89,11 @@ def target_eta_oof(long: DataFrame, by: list[str], folds: Folds) -> DataFrame:
     """(by, n, effect): 1 - SSres / SStot (not under 0) of test rows against the training mean of their category, or of all
     where it is null or unseen, pooled over the folds; 0 if the target doesn't vary. long has fold, and rows with x null."""
     y = _d("y")
-    c = long.groupBy(*by, "x", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
+    return eta_of_cells(long.groupBy(*by, "x", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")), by, folds)
+
+
+def eta_of_cells(c: DataFrame, by: list[str], folds: Folds) -> DataFrame:
+    """The same from (by, x, fold, n, s, q): number, sum and sum of squares of y."""
     t = _per_fold(c, by, folds, ["n", "s", "q"])
     total = t.groupBy(*by, "f").agg((F.sum("tr_s") / F.sum("tr_n")).alias("mean")).where("mean is not null")
     enc = F.when(F.col("x").isNotNull() & (F.col("tr_n") > 0), F.col("tr_s") / F.nullif(F.col("tr_n"), F.lit(0))).otherwise(F.col("mean"))

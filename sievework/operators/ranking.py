@@ -2,7 +2,7 @@
 
 Rows are range-partitioned by group and order and written. Running sums are taken inside each
 partition; only the partitions' totals, about as many rows as there are partitions and groups, are summed over
-partitions and broadcast.
+partitions. They are broadcast where groups are features, folds and the like, or if their written size allows.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import keep
+from ..sources.scratch import keep, small
+
+
+FEW = {"feature", "fold", "b", "rep"}  # groups of which there are as many as columns, folds or replicates
 
 
 def cumulative(df: DataFrame, by: list[str], order: list[Column | str], value: str | None = None, into: str = "before") -> DataFrame:
@@ -23,7 +26,8 @@ def cumulative(df: DataFrame, by: list[str], order: list[Column | str], value: s
     across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__p")
     totals = ranged.groupBy("__p", *by).agg(F.sum(n).alias("__t"))
     start = totals.select("__p", *by, (F.sum("__t").over(across.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__t")).alias("__b"))
-    summed = ranged.withColumn("__s", F.sum(n).over(inner) - n).join(F.broadcast(start), ["__p", *by])
+    start = F.broadcast(start) if set(by) <= FEW else small(keep(start))
+    summed = ranged.withColumn("__s", F.sum(n).over(inner) - n).join(start, ["__p", *by])
     return summed.withColumn(into, F.col("__s") + F.col("__b")).drop("__p", "__s", "__b")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import number
-from ..functions.thresholds import AUTO_DROP, FEATURE_TYPES, LEAK_FLAG, TARGET_TYPES, cramers_v_floor, power_flag
+from ..functions.columns import derive_datetime, hurdle_split, number
+from ..functions.thresholds import AUTO_DROP, COX_P, FEATURE_TYPES, LEAK_FLAG, TARGET_TYPES, cramers_v_floor, folds_viable, power_flag, recommended_k, suggest_strategy, tier_for, viable
 from ..operators import association as A
+from ..operators import crosscheck as X
 from ..operators import folds as folds_
 from ..operators import information as I
 from ..operators import leakage as L
@@ -113,7 +114,7 @@ def _association(run, rows, folds, m, fs, kinds, ttype, y, ci_b, shadow_b) -> di
     for r in m.plan(tested, ["feature", "fold"]).collect():
         spread.setdefault(r["feature"], []).append(_nan(r["effect"]))
     n = {r["feature"]: r["n"] for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    drawn = {r["feature"]: r for r in S.resample(screened, dict.fromkeys(fs, m.name), ci_b, shadow_b, run.frame.seed, m.numeric, ttype in ("regression", "ordinal")).collect()}
+    drawn = {r["feature"]: r for r in S.resample(screened, dict.fromkeys(fs, m.name), ci_b, shadow_b, run.frame.seed).collect()}
     gaps = {}
     shaped = [f for f in fs if ttype == "binary" and kinds[f] in NUMERIC]
     if shaped:
@@ -133,20 +134,18 @@ def _association(run, rows, folds, m, fs, kinds, ttype, y, ci_b, shadow_b) -> di
 
 
 def _out_of_fold(run, rows, folds, fs, ttype, y, shadow_b) -> dict[str, dict]:
-    """Columns of many levels, scored on rows whose own target wasn't used. A shadow deals the (target, fold) pairs out to
-    the levels anew by one hash a row, all shadows in one plan."""
+    """Columns of many levels, scored on rows whose own target wasn't used. A shadow deals the (target, fold) pairs out to the levels anew: for a
+    binary target on counts (see resampling), for a number inside blocks of rows that a hash of the row key chooses."""
     binary = ttype == "binary"
     plan = I.iv_oof if binary else I.target_eta_oof
     long = categorical(rows, fs, y, ["__fold", "row_key"], nulls=not binary).withColumnRenamed("__fold", "fold")
     effects = {r["feature"]: r.asDict() for r in plan(long, ["feature"], folds).collect()}
     shadows: dict[str, list] = {f: [] for f in fs}
-    if shadow_b:
-        keyed = long.select("feature", "x", "y", "fold", F.explode(F.sequence(F.lit(1), F.lit(shadow_b))).alias("rep"), "row_key")
-        h = lambda side: F.md5(F.concat_ws("|", F.lit(str(run.frame.seed)), "rep", "row_key", F.lit(side)))
-        by = ["feature", "rep"]
-        left = folds_.row_numbers(keyed.select(*by, "x", h("x").alias("h")), by, ["h"]).drop("h")
-        right = folds_.row_numbers(keyed.select(*by, "y", "fold", h("y").alias("h")), by, ["h"]).drop("h")
-        for r in plan(left.join(right, [*by, "rn"]), by, folds).collect():
+    if shadow_b and binary:
+        for r in S.resample(long.drop("row_key"), dict.fromkeys(fs, "IV (oof)"), 0, shadow_b, run.frame.seed, folds=folds).collect():
+            shadows[r["feature"]] = r["shadow"]
+    elif shadow_b:
+        for r in I.eta_of_cells(_dealt_in_blocks(long, shadow_b, run.frame.seed), ["feature", "rep"], folds).collect():
             shadows[r["feature"]].append(_nan(r["effect"]))
     out = {}
     for f in fs:
@@ -160,14 +159,48 @@ def _out_of_fold(run, rows, folds, fs, ttype, y, shadow_b) -> dict[str, dict]:
     return out
 
 
+BLOCK_ROWS = 1_000_000
+
+
+def _dealt_in_blocks(long: DataFrame, b: int, seed: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(feature, rep, x, fold, n, s, q): cells of b permutations of (y, fold) against x. A permutation stays inside blocks of about rows rows, drawn by a hash of the
+    row key; what a real effect leaves in the means of k such blocks of n rows is k / n of it."""
+    import pandas as pd
+
+    blocks = max(1, -(-long.count() // rows))
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["h", "row_key"])
+        code, levels = pd.factorize(g["x"], use_na_sentinel=False)
+        y, fold = g["y"].to_numpy(float), g["fold"].to_numpy()
+        k = int(fold.max()) + 1
+        rng, out = np.random.default_rng([seed, key[1]]), []
+        for rep in range(b):
+            p = rng.permutation(len(g))
+            cell, at = np.unique(code * k + fold[p], return_inverse=True)
+            n, s, q = np.bincount(at), np.bincount(at, y[p]), np.bincount(at, y[p] ** 2)
+            out.append(pd.DataFrame({"feature": key[0], "rep": rep, "x": levels.to_numpy(dtype=object)[cell // k], "fold": cell % k, "n": n, "s": s, "q": q}))
+        return pd.concat(out)
+
+    kind = "feature string, rep int, x string, fold int, n long, s double, q double"
+    keyed = long.withColumn("y", F.col("y").cast("double")).withColumn("h", F.xxhash64("row_key", F.lit(seed))).withColumn("block", F.pmod("h", F.lit(blocks)))
+    dealt = keyed.groupBy("feature", "block").applyInPandas(one, kind)
+    return dealt.groupBy("feature", "rep", "x", "fold").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
+
+
 def _survival(run, fs, shadow_b) -> dict[str, dict]:
-    """C-index of univariate Cox models; the floor is that of permuted features. Strings raise."""
+    """C-index of univariate Cox models; the floor is that of permuted features. Strings are groups of a log-rank test: effect is 1 - p."""
     t, e = run.frame.target, run.frame.event_col
-    bad = [f for f in fs if isinstance(run.df.schema[f].dataType, T.StringType)]
-    if bad:
-        raise TypeError(f"a survival target needs numeric features; use logrank for {', '.join(bad)}")
     folds = run.guard("relevance")
     rows = run.df.join(folds.frame.where(folds.is_screened(F.col("fold"))).select("row_key"), "row_key", "left_semi")
+    named = [f for f in fs if isinstance(run.df.schema[f].dataType, T.StringType)]
+    if named:
+        out = _survival(run, [f for f in fs if f not in named], shadow_b) if len(named) < len(fs) else {}
+        for f in named:
+            _, p = V.logrank(rows, t, e, f)
+            n = run.df.where(F.col(f).isNotNull()).count()
+            out[f] = {"column": f, "metric_name": "log-rank", "effect": 1 - p, "effect_ci": (math.nan, math.nan), "p": p, "shape_gap": math.nan, "fold_spread": math.nan, "shadow_floor": 1 - COX_P, "power_flag": power_flag(n), "n": n}
+        return out
     fit = V.cox_screen(rows, t, e, fs)
     floors = _survival_floors(run, rows, fs, shadow_b)
     n = {r["feature"]: r["n"] for r in numeric(run.df, fs, number(e)).groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -179,7 +212,8 @@ def _survival(run, fs, shadow_b) -> dict[str, dict]:
 
 
 def _survival_floors(run, rows, fs, shadow_b) -> dict[str, list[float]]:
-    """Under a permutation the C-index of a feature is that of the same margins on a grid of quantile bins."""
+    """Under a permutation the C-index of a feature is that of the same margins on a grid of quantile bins: pairs inside a bin of x, 1 / 256 of all, count as ties, of
+    which either order is as likely."""
     import pandas as pd
 
     t, e = number(run.frame.target), (number(run.frame.event_col) > 0).cast("int")
@@ -193,10 +227,10 @@ def _survival_floors(run, rows, fs, shadow_b) -> dict[str, list[float]]:
     def one(key, g: pd.DataFrame) -> pd.DataFrame:
         xk, xi = np.unique(g["xb"].to_numpy(), return_inverse=True)
         te, yi = np.unique(g["tb"].to_numpy() * 2 + g["e"].to_numpy(), return_inverse=True)
-        table = np.zeros((len(xk), len(te)))
+        table = np.zeros((len(xk), len(te)), np.int64)
         np.add.at(table, (xi, yi), g["n"].to_numpy())
         found = []
-        for s in S.permutations(table, b, np.random.default_rng(seed)):
+        for s in S.tables(np.random.default_rng(seed), table, np.tile(table.sum(0), (b, 1)), True):
             i, j = np.nonzero(s)
             good, tie, pairs = V.count_pairs((te[j] // 2).astype(float), (te[j] % 2).astype(float), xk[i].astype(float), s[i, j])
             if pairs:
@@ -228,12 +262,34 @@ def decide(facts: dict, levels: int | None = None, gap: float = 0.1, spread: flo
     return "keep", f"signal ({name} {e:.4f} over {facts['shadow_floor']:.4f})"
 
 
-def screen(run: Run, strategy: str | None = None, types: dict[str, str] | None = None, ci_b: int = 200, shadow_b: int = 50, k: int = 5) -> DataFrame:
-    """Parts B to H over an opened run, to the ledger: a row for each column but the target and the row key."""
+def _expanded(run: Run) -> DataFrame:
+    """Parts of date columns instead of them; a flag and the other values of numeric columns of which over half is 0."""
+    f = run.frame
+    spare = {f.target, f.event_col, f.date_col, f.reference_date, "row_key", *f.id_cols}
+    df = run.df
+    for c in P.looks_like_dates(df, [c for c in df.columns if c not in spare]):
+        df = derive_datetime(df, c).drop(c)
+    numbers = [c for c in df.columns if c not in spare and isinstance(df.schema[c].dataType, T.NumericType)]
+    for r in P.distribution(df, numbers).collect() if numbers else []:
+        if "zero-inflated" in r["flags"]:
+            zero, rest = hurdle_split(F.col(r["column"]))
+            df = df.withColumn(f"{r['column']}__zero", zero).withColumn(r["column"], rest)
+    return df
+
+
+def screen(run: Run, strategy: str | None = None, types: dict[str, str] | None = None, ci_b: int = 200, shadow_b: int = 50, k: int | None = None, check: bool = False, expand: bool = False) -> DataFrame:
+    """Parts B to H over an opened run, to the ledger: a row for each column but the target and the row key.
+
+    k is 5, or 3 for a small sample. With expand, date columns are replaced by their parts and columns with many zeros by a flag and their other values before the screening.
+    With check, which takes far longer than the rest, columns that the random forest confirms although they were dropped go to review. The viability floors go into the report and, where one isn't met, the
+    reasons of the columns."""
+    if expand:
+        run.df = _expanded(run)
     f = run.frame
     protected = [c for c in (f.target, f.event_col, f.date_col, f.reference_date) if c]
-    viable = P.viability(run.df, f.target, f.target_type, f.event_col).first()
-    run.report.add("B Viability", facts=viable.asDict())
+    found = P.viability(run.df, f.target, f.target_type, f.event_col).first().asDict()
+    enough = viable(f.target_type or "binary", found["positives"], found["effective_n"] or 0)
+    k = k or recommended_k(tier_for(found["effective_n"] or 0))
     base = run.df.drop("row_key")
     facts = P.profile(base)
     same = P.duplicate_columns(base)
@@ -253,25 +309,29 @@ def screen(run: Run, strategy: str | None = None, types: dict[str, str] | None =
     run.leaks.extend(L.name_signals(run.spark, list(kinds), f.target))
     if f.reference_date or f.date_col:
         run.leaks.extend(L.future_timestamps(base, F.col(f.reference_date or f.date_col), protected))
-    how = strategy or ("time" if f.date_col else "grouped" if f.id_cols else "stratified")
+    how = strategy or suggest_strategy(bool(f.id_cols), f.date_col is not None)
     run.freeze(folds_.make_folds(run.df, how, k, seed=f.seed, target=f.target, group=f.id_cols[0] if f.id_cols else None, date=f.date_col))
+    if enough and f.target_type in ("binary", "multiclass"):
+        enough = folds_viable([r["positives"] for r in folds_.fold_positives(run.df, run.folds, f.target).collect()])
+    run.report.add("B Viability", facts=found | {"viable": enough, "folds": k})
     if f.target_type == "binary":
         y = target_column(run)
         run.leaks.extend(L.presence_signals(base, y, list(kinds)))
         run.leaks.extend(L.missingness_signals(base, y, [c for c in kinds if table[c]["missing_rate"] > 0]) if any(table[c]["missing_rate"] > 0 for c in kinds) else run.spark.createDataFrame([], L.SIGNAL))
         run.leaks.extend(L.separation(base, y, [c for c in kinds if kinds[c] != "datetime"]))
-    found = relevance(run, kinds, ci_b, shadow_b)
-    effects = run.spark.createDataFrame([(c, r["metric_name"], r.get("effect")) for c, r in found.items() if r.get("effect", math.nan) == r.get("effect", math.nan)], "column string, metric_name string, effect double")
+    measured = relevance(run, kinds, ci_b, shadow_b)
+    effects = run.spark.createDataFrame([(c, r["metric_name"], r.get("effect")) for c, r in measured.items() if r.get("effect", math.nan) == r.get("effect", math.nan)], "column string, metric_name string, effect double")
     run.leaks.extend(L.effect_outliers(effects))
     for name, limit in LEAK_FLAG.items():
         run.leaks.extend(L.effect_backstop(effects.where(F.col("metric_name") == name), limit))
-    for c, r in found.items():
+    for c, r in measured.items():
         verdict, reason = decide(r, table[c]["n_unique"])
+        reason = reason if enough else f"{reason}; too few cases to be sure"
         run.ledger.upsert(c, verdict=verdict, reason=reason, **{k_: v for k_, v in r.items() if k_ not in ("column", "p", "n")})
     keeps = {c: kinds[c] for c in kinds if run.ledger.rows[c]["verdict"] == "keep"}
     if len(keeps) > 1:
         for group in R.components(R.pairwise(run.df, keeps)):
-            best = R.representative(group, {c: found[c]["effect"] for c in group}, {c: table[c]["missing_rate"] for c in group})
+            best = R.representative(group, {c: measured[c]["effect"] for c in group}, {c: table[c]["missing_rate"] for c in group})
             for c in group:
                 if c != best:
                     run.ledger.upsert(c, verdict="redundant", redundant_with=best, reason=f"redundant (with {best})")
@@ -281,6 +341,12 @@ def screen(run: Run, strategy: str | None = None, types: dict[str, str] | None =
     for r in L.adjudicate(run.leaks.signals(run.spark)).collect():
         if r["column"] in run.ledger.rows and run.ledger.rows[r["column"]].get("verdict") != "structural-drop":
             run.ledger.upsert(r["column"], verdict="leak-suspect", leak_flag=r["leak"], reason=f"leak suspect ({r['leak']})")
+    dropped = [c for c in kinds if run.ledger.rows[c].get("verdict") == "drop"]
+    if check and dropped and f.target_type != "survival":
+        tried = [c for c in kinds if run.ledger.rows[c].get("verdict") in ("keep", "drop") and kinds[c] != "datetime"]
+        for c, status in X.crosscheck(run.df, tried, f.target, f.target_type, f.seed).items():
+            if status == "confirmed" and c in dropped:
+                run.ledger.upsert(c, verdict="review", reason=f"confirmed by the cross-check; {run.ledger.rows[c]['reason']}")
     for r in rank_within_type(run.ledger.frame(run.spark)).collect():
         run.ledger.upsert(r["column"], rank_within_type=r["rank"])
     ledger = run.ledger.frame(run.spark)

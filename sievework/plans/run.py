@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
-from pathlib import Path
-
 import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +16,7 @@ from ..operators.folds import Folds, load_folds
 from ..operators.leakage import SIGNAL
 from ..operators.report import LIMITS, drop_rate_by_rule
 from ..sources import ingest
+from ..sources.scratch import exists, read_text, write_text
 
 VERDICTS = tuple("drop engineer keep leak-suspect redundant review structural-drop".split())
 LEDGER = T.StructType(
@@ -106,11 +104,11 @@ class LeakRegister:
 class Report:
     """Sections by title, written at once; adding a title again replaces its section in place."""
 
-    def __init__(self, path: Path, title: str):
-        self.path, self.title, self.sections = path, title, {}
-        store = path.with_suffix(".json")
-        if store.exists():
-            self.sections = json.loads(store.read_text("utf-8"))
+    def __init__(self, spark: SparkSession, path: str, title: str):
+        """path: without suffix."""
+        self.spark, self.path, self.title, self.sections = spark, path, title, {}
+        if exists(spark, f"{path}.json"):
+            self.sections = json.loads(read_text(spark, f"{path}.json"))
         self._flush()
 
     def add(self, title: str, body: str = "", facts: dict | None = None, tables: list[tuple[str, DataFrame]] = (), notes: str | list[str] = (), rows: int = 200) -> None:
@@ -130,15 +128,15 @@ class Report:
         return "\n\n".join([f"# {self.title}", *[f"## {t}\n\n{b}" for t, b in self.sections.items()]]) + "\n"
 
     def _flush(self) -> None:
-        _write(self.path, self.text())
-        _write(self.path.with_suffix(".json"), json.dumps(self.sections))
+        write_text(self.spark, f"{self.path}.md", self.text())
+        write_text(self.spark, f"{self.path}.json", json.dumps(self.sections))
 
-    def export_html(self, path: Path | None = None) -> Path:
+    def export_html(self, path: str | None = None) -> str:
         import html
 
-        out = path or self.path.with_suffix(".html")
+        out = path or f"{self.path}.html"
         body = "\n".join(f"<h2>{html.escape(t)}</h2>\n<pre>{html.escape(b)}</pre>" for t, b in self.sections.items())
-        _write(out, f'<!doctype html><meta charset="utf-8"><title>{html.escape(self.title)}</title><h1>{html.escape(self.title)}</h1>\n{body}\n')
+        write_text(self.spark, out, f'<!doctype html><meta charset="utf-8"><title>{html.escape(self.title)}</title><h1>{html.escape(self.title)}</h1>\n{body}\n')
         return out
 
 
@@ -157,27 +155,20 @@ def _markdown(head: list[str], rows: list) -> str:
     return "\n".join([line(map(str, head)), line(["---"] * len(head)), *[line(map(_show, r)) for r in rows]])
 
 
-def _write(path: Path, text: str) -> None:
-    path.parent.mkdir(parents=True, exist_ok=True)
-    part = path.with_name(path.name + ".part")
-    part.write_text(text, "utf-8")
-    os.replace(part, path)
-
-
 @dataclass
 class Run:
     spark: SparkSession
     df: DataFrame
     frame: Frame
     run_id: str
-    home: Path
+    home: str  # a folder on a file system that all executors share; any URL that Spark can write to
     ledger: Ledger = field(default_factory=Ledger)
     leaks: LeakRegister = field(default_factory=LeakRegister)
     folds: Folds | None = None
     state: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self.report = Report(self.home / "report.md", f"Column screening, run {self.run_id}")
+        self.report = Report(self.spark, f"{self.home}/report", f"Column screening, run {self.run_id}")
 
     def decide(self, **facts) -> None:
         self.frame = replace(self.frame, **facts)
@@ -189,22 +180,22 @@ class Run:
         return self.folds
 
     def freeze(self, folds: Folds) -> Folds:
-        folds.save(str(self.home / "folds"))
-        self.folds = load_folds(self.spark, str(self.home / "folds"))
+        folds.save(f"{self.home}/folds")
+        self.folds = load_folds(self.spark, f"{self.home}/folds")
         return self.folds
 
     def gate(self, part, conditions, notes=()) -> bool:
         """Writes a card, then raises unless there are conditions and all hold."""
         failed = [k for k, ok in conditions.items() if not ok] if conditions else ["no conditions"]
         card = {"part": part, "conditions": {k: bool(v) for k, v in conditions.items()}, "passed": not failed, "notes": list(notes)}
-        _write(self.home / "decision_cards" / f"{part}.json", json.dumps(card, indent=1))
+        write_text(self.spark, f"{self.home}/decision_cards/{part}.json", json.dumps(card, indent=1))
         if failed:
             raise GateFailure(part, failed)
         return True
 
     def save_ledger(self, name="ledger.parquet") -> str:
         """CSV gets the ends of the interval as columns of their own."""
-        out, path = self.ledger.frame(self.spark), str(self.home / name)
+        out, path = self.ledger.frame(self.spark), f"{self.home}/{name}"
         if name.lower().endswith(".csv"):
             flat = out.select(*[F.col("effect_ci.lo").alias("effect_lo") if c == "effect_ci" else F.col(c) for c in out.columns], F.col("effect_ci.hi").alias("effect_hi"))
             flat.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
@@ -212,19 +203,19 @@ class Run:
             out.coalesce(1).write.mode("overwrite").parquet(path)
         return path
 
-    def checkpoint(self, part: str = "run") -> Path:
+    def checkpoint(self, part: str = "run") -> str:
         """The table as a Parquet snapshot of this part, which is never changed later, and the rest as JSON."""
-        table = self.home / f"part_{part}-{_six()}"
-        self.df.write.parquet(str(table))
-        self.df = self.spark.read.parquet(str(table))
-        state = {"frame": asdict(self.frame), "table": table.name, "state": self.state, "ledger": self.ledger.rows, "leaks": self.leaks.rows, "folds": self.folds is not None}
-        _write(self.home / "state.json", json.dumps(state, indent=1))
-        return self.home / "state.json"
+        table = f"part_{part}-{_six()}"
+        self.df.write.parquet(f"{self.home}/{table}")
+        self.df = self.spark.read.parquet(f"{self.home}/{table}")
+        state = {"frame": asdict(self.frame), "table": table, "state": self.state, "ledger": self.ledger.rows, "leaks": self.leaks.rows, "folds": self.folds is not None}
+        write_text(self.spark, f"{self.home}/state.json", json.dumps(state, indent=1))
+        return f"{self.home}/state.json"
 
     def manifest(self) -> dict:
         conf = {k: self.spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.session.timeZone")}
         found = {"run_id": self.run_id, "created_at": datetime.now(UTC).isoformat(timespec="seconds"), "seed": self.frame.seed, "frame": asdict(self.frame), "spark": self.spark.version, "pyspark": pyspark.__version__, "conf": conf}
-        _write(self.home / "manifest.json", json.dumps(found, indent=1))
+        write_text(self.spark, f"{self.home}/manifest.json", json.dumps(found, indent=1))
         return found
 
     def log(self, path: str | None = None) -> dict:
@@ -235,10 +226,8 @@ class Run:
                 verdicts[r["verdict"]] = verdicts.get(r["verdict"], 0) + 1
         record = {"run_id": self.run_id, "n_columns": len(self.ledger.rows), "verdicts": verdicts, "rules": {r["rule"]: r["n"] for r in drop_rate_by_rule(self.ledger.frame(self.spark)).collect()}}
         if path:
-            Path(path).parent.mkdir(parents=True, exist_ok=True)
-            line = json.dumps(record)
-            with open(path, "a", encoding="utf-8") as log:
-                print(line, file=log)
+            before = read_text(self.spark, path) if exists(self.spark, path) else ""
+            write_text(self.spark, path, before + json.dumps(record) + "\n")
         return record
 
     def limits_note(self) -> str:
@@ -262,18 +251,18 @@ def open_run(spark: SparkSession, source: str | DataFrame, runs_dir: str = "runs
     if "row_key" not in df.columns:
         df = ingest.with_row_key(df, frame.row_key)
     run_id = run_id or f"{datetime.now(UTC):%Y%m%d-%H%M%S}-{_six()}"
-    return Run(spark, df, frame, run_id, Path(runs_dir) / run_id)
+    return Run(spark, df, frame, run_id, f"{runs_dir.rstrip('/')}/{run_id}")
 
 
 def resume_run(spark: SparkSession, run_id: str, runs_dir: str = "runs") -> Run:
-    home = Path(runs_dir) / run_id
-    if not (home / "state.json").exists():
+    home = f"{runs_dir.rstrip('/')}/{run_id}"
+    if not exists(spark, f"{home}/state.json"):
         raise FileNotFoundError(f"{home} has no checkpoint; open the run and call checkpoint() first")
-    s = json.loads((home / "state.json").read_text("utf-8"))
+    s = json.loads(read_text(spark, f"{home}/state.json"))
     frame = Frame(**{k: tuple(v) if k == "id_cols" else v for k, v in s["frame"].items()})
-    run = Run(spark, spark.read.parquet(str(home / s["table"])), frame, run_id, home, Ledger(s["ledger"]), LeakRegister([tuple(r) for r in s["leaks"]]), None, s["state"])
+    run = Run(spark, spark.read.parquet(f"{home}/{s['table']}"), frame, run_id, home, Ledger(s["ledger"]), LeakRegister([tuple(r) for r in s["leaks"]]), None, s["state"])
     if s["folds"]:
-        run.folds = load_folds(spark, str(home / "folds"))
+        run.folds = load_folds(spark, f"{home}/folds")
     return run
 
 

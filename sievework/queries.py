@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +21,7 @@ from .operators import survival as V
 from .operators.longform import categorical, numeric
 from .plans import relevance as RL
 from .plans.run import open_run
+from .sources.scratch import keep, shared_folder
 from .streaming import psi as W
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -238,6 +237,13 @@ def folds_grouped_orders(spark: SparkSession, sf: str) -> DataFrame:
     return E.make_folds(_t(spark, sf, "orders"), "grouped", key="o_orderkey", group="o_custkey").frame
 
 
+@query("with recursive g as (select n, row_number() over (order by n desc, c) i from (select o_custkey c, count(*) n from orders group by 1)), d as (select cast(0 as bigint) i, [cast(0 as bigint), 0, 0, 0, 0] l union all select g.i, list_transform(l, lambda v, j: case when j = list_position(l, list_min(l)) then v + g.n else v end) from d join g on g.i = d.i + 1) select n, cast(count(*) as bigint) folds from (select unnest(l) n from d where i = (select max(i) from g)) group by n")
+def fold_loads_grouped_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """How many folds have how many rows, if groups go one by one to the fold with the fewest."""
+    f = E.make_folds(_t(spark, sf, "orders"), "grouped", key="o_orderkey", group="o_custkey").frame
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("folds"))
+
+
 _STRAT = "select {key} k, cast((row_number() over (partition by {c} order by md5('42|' || {key}), {key}) - 1) % 5 + 1 as int) fold from {t}"
 
 
@@ -270,18 +276,27 @@ def auc_by_fold_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _r(A.auc(numeric(o.join(f, o["o_orderkey"] == f["row_key"]), ["o_custkey", "o_totalprice"], F.expr(_F01), ["fold"]), ["feature", "fold"]), "effect")
 
 
-@query()
+def _normal_p(z: str) -> str:
+    """Two-sided, by Simpson's rule."""
+    return f"1 - 2 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 2001), lambda i: exp(-pow({z} * i / 2000.0, 2) / 2) * case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end)) * {z} / 6000.0"
+
+
+_MW = "select '{f}' feature, y, 2 * rank() over (order by {f}) + count(*) over (partition by {f}) - 1 r2, count(*) over (partition by {f}) t from (select *, " + _F01 + " y from orders)"
+
+
+@query("with r as (" + " union all ".join(_MW.format(f=f) for f in ("o_custkey", "o_totalprice")) + f"), s as (select feature, cast(count(*) as double) n, cast(sum(y) as double) m, sum(r2 * y) / 2.0 s, sum(cast(t as double) * t - 1) ties from r group by feature), u as (select feature, n, m, s - m * (m + 1) / 2 u, ties from s), z as (select feature, n, u, u / (m * (n - m)) a, greatest(abs(u - m * (n - m) / 2) - 0.5, 0) / sqrt(m * (n - m) / 12 * (n + 1 - ties / (n * (n - 1)))) z from u) select feature, cast(n as bigint) n, round(greatest(a, 1 - a), 6) effect, u, round(z, 6) z, round({_normal_p('z')}, 6) + 0.0 p from z")
 def mann_whitney_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _r(A.mann_whitney(numeric(_t(spark, sf, "orders"), ["o_custkey", "o_totalprice"], F.expr(_F01)), ["feature"]), "effect", "z", "p")
 
 
-_EMB = "select 'v' || lpad(cast(i as varchar), 2, '0') feature, embedding[i] x, label y from embeddings, range(1, 9) t(i)"
+_EMB = "select 'v' || lpad(cast(i as varchar), 3, '0') feature, embedding[i] x, label y from (select embedding, label, unnest(range(1, len(embedding) + 1)) i from embeddings)"
 
 
 @query(f"with l as ({_EMB}), r as (select feature, y, 2 * rank() over (partition by feature order by x) + count(*) over (partition by feature, x) - 1 r2, count(*) over (partition by feature) n from l), s as (select feature, y, max(n) n, (sum(r2) / 2.0 - count(*) * (count(*) + 1) / 2.0) / (count(*) * (max(n) - count(*))) a from r group by feature, y) select feature, max(n) n, round(avg(greatest(a, 1 - a)), 6) effect from s group by feature")
 def auc_ovr_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "embeddings").select(F.col("label").alias("y"), *[F.col("embedding")[i - 1].alias(f"v{i:02d}") for i in range(1, 9)])
-    return _r(A.auc_ovr(numeric(e, [f"v{i:02d}" for i in range(1, 9)], F.col("y")), ["feature"]), "effect")
+    e = _t(spark, sf, "embeddings")
+    long = e.select(F.col("label").alias("y"), F.posexplode("embedding").alias("i", "x")).select(F.format_string("v%03d", F.col("i") + 1).alias("feature"), F.col("x").cast("double").alias("x"), "y")
+    return _r(A.auc_ovr(long, ["feature"]), "effect")
 
 
 @query("with t as (select l_quantity x, case when l_returnflag = 'R' then 1 else 0 end y from lineitem), r as (select y, 2 * rank() over (order by x) + count(*) over (partition by x) - 1 r2 from t) select 'l_quantity' feature, count(*) n, round(2 * (sum(r2 * y) / 2.0 - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) - 1, 6) + 0.0 effect from r")
@@ -290,27 +305,33 @@ def cliffs_delta_lineitem(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _kruskal_sql(table: str, f: str, y: str) -> str:
-    return f"with r as (select {y} y, rank() over (order by {f}) + (count(*) over (partition by {f}) - 1) / 2.0 r, count(*) over (partition by {f}) t, count(*) over () n from {table}), g as (select y, sum(r) s, count(*) k from r group by y), q as (select sum(s * s / k) q from g), c as (select max(n) n, sum(cast(t as double) * t - 1) ties from r), h as (select n, (12.0 / (cast(n as double) * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (cast(n as double) * n * n - n)) h from q, c) select '{f}' feature, n, round(h, 6) + 0.0 h, round(h / (n - 1), 6) + 0.0 effect from h"
+    return f"with r as (select {y} y, rank() over (order by {f}) + (count(*) over (partition by {f}) - 1) / 2.0 r, count(*) over (partition by {f}) t, count(*) over () n from {table}), g as (select y, sum(r) s, count(*) k from r group by y), q as (select sum(s * s / k) q from g), c as (select max(n) n, sum(cast(t as double) * t - 1) ties from r), h as (select n, (12.0 / (cast(n as double) * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (cast(n as double) * n * n - n)) h from q, c) select '{f}' feature, n, round(h, 6) + 0.0 h, round(h / (n - 1), 6) + 0.0 effect, round(exp(-h / 2) * case (select count(*) from g) when 3 then 1 when 5 then 1 + h / 2 end, 6) + 0.0 p from h"
 
 
 @query(_kruskal_sql("events", "value", "event_type"))
 def kruskal_events(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(A.kruskal(numeric(_t(spark, sf, "events"), ["value"], F.col("event_type")), ["feature"]).drop("p"), "h", "effect")
+    return _r(A.kruskal(numeric(_t(spark, sf, "events"), ["value"], F.col("event_type")), ["feature"]), "h", "effect", "p")
 
 
 @query(_kruskal_sql("lineitem", "l_quantity", "l_returnflag"))
 def kruskal_lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(A.kruskal(numeric(_t(spark, sf, "lineitem"), ["l_quantity"], F.col("l_returnflag")), ["feature"]).drop("p"), "h", "effect")
+    return _r(A.kruskal(numeric(_t(spark, sf, "lineitem"), ["l_quantity"], F.col("l_returnflag")), ["feature"]), "h", "effect", "p")
+
 
+def _corr_p(r: str, n: str) -> str:
+    """Two-sided tail of Student's t of a correlation, by Simpson's rule."""
+    t, v = f"(abs({r}) * sqrt(({n} - 2) / (1 - {r} * {r})))", f"({n} - 2.0)"
+    return f"greatest(0, 1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * list_sum(list_transform(range(0, 20001), lambda i: pow(1 + pow({t} * i / 20000.0, 2) / {v}, -({v} + 1) / 2) * case when i in (0, 20000) then 1 when i % 2 = 1 then 4 else 2 end)) * {t} / 60000.0)"
 
-@query("with r as (select 'p_partkey' feature, 2 * rank() over (order by p_partkey) + count(*) over (partition by p_partkey) rx, 2 * rank() over (order by p_retailprice) + count(*) over (partition by p_retailprice) ry from part union all select 'p_size', 2 * rank() over (order by p_size) + count(*) over (partition by p_size), 2 * rank() over (order by p_retailprice) + count(*) over (partition by p_retailprice) from part) select feature, count(*) n, round(corr(rx, ry), 6) + 0.0 r from r group by feature")
+
+@query("with r as (select 'p_partkey' feature, 2 * rank() over (order by p_partkey) + count(*) over (partition by p_partkey) rx, 2 * rank() over (order by p_retailprice) + count(*) over (partition by p_retailprice) ry from part union all select 'p_size', 2 * rank() over (order by p_size) + count(*) over (partition by p_size), 2 * rank() over (order by p_retailprice) + count(*) over (partition by p_retailprice) from part), c as (select feature, count(*) n, corr(rx, ry) r from r group by feature) select feature, n, round(r, 6) + 0.0 r, round(abs(r), 6) effect, round(" + _corr_p("r", "n") + ", 6) + 0.0 p from c")
 def spearman_part(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(A.spearman(numeric(_t(spark, sf, "part"), ["p_partkey", "p_size"], F.col("p_retailprice")), ["feature"]).select("feature", "n", "r"), "r")
+    return _r(A.spearman(numeric(_t(spark, sf, "part"), ["p_partkey", "p_size"], F.col("p_retailprice")), ["feature"]), "r", "effect", "p")
 
 
-@query("select 'p_partkey' feature, count(*) n, round(corr(p_partkey, p_retailprice), 6) + 0.0 r from part union all select 'p_size', count(*), round(corr(p_size, p_retailprice), 6) + 0.0 from part")
+@query("with c as (select 'p_partkey' feature, count(*) n, corr(p_partkey, p_retailprice) r from part union all select 'p_size', count(*), corr(p_size, p_retailprice) from part) select feature, n, round(r, 6) + 0.0 r, round(abs(r), 6) effect, round(" + _corr_p("r", "n") + ", 6) + 0.0 p from c")
 def pearson_part(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(A.pearson(numeric(_t(spark, sf, "part"), ["p_partkey", "p_size"], F.col("p_retailprice")), ["feature"]).select("feature", "n", "r"), "r")
+    return _r(A.pearson(numeric(_t(spark, sf, "part"), ["p_partkey", "p_size"], F.col("p_retailprice")), ["feature"]), "r", "effect", "p")
 
 
 @query(f"select 'f' feature, count(*) n, round(corr({_F01}, o_totalprice), 6) + 0.0 r from orders")
@@ -368,7 +389,10 @@ def information_value_lang(spark: SparkSession, sf: str) -> DataFrame:
     return _r(I.information_value(_labelled(spark, sf), ["feature"]), "effect")
 
 
-@query()
+_MERGED = "with recursive l as (select 'p_name' feature, p_name x, count_if(p_size <= 25) g, count_if(p_size > 25) b from part group by 2 union all select 'p_brand', p_brand, count_if(p_size <= 25), count_if(p_size > 25) from part group by 2), o as (select *, g + b n, row_number() over (partition by feature order by b / (g + b), x) i, sum(g + b) over (partition by feature) total from l), m as (select feature, i, n, total, cast(0 as bigint) bin, case when n >= 0.05 * total and total - n >= 0.05 * total then 1 else 0 end closed, cast(n as double) held, cast(total - n as double) rest from o where i = 1 union all select o.feature, o.i, o.n, o.total, m.bin + m.closed, case when o.n + case when m.closed = 1 then 0 else m.held end >= 0.05 * o.total and m.rest - o.n >= 0.05 * o.total then 1 else 0 end, o.n + case when m.closed = 1 then 0 else m.held end, m.rest - o.n from m join o on o.feature = m.feature and o.i = m.i + 1), q as (select o.feature, bin, sum(g) g, sum(b) b from o join m using (feature, i) group by 1, 2), t as (select *, sum(g) over (partition by feature) tg, sum(b) over (partition by feature) tb from q) select feature, cast(sum(g + b) as bigint) n, round(sum((g / tg - b / tb) * ln(((g + 0.5) / (tg + 0.5)) / ((b + 0.5) / (tb + 0.5)))), 6) + 0.0 effect from t group by feature"
+
+
+@query(_MERGED)
 def information_value_merged_part(spark: SparkSession, sf: str) -> DataFrame:
     return _r(I.information_value(categorical(_t(spark, sf, "part"), ["p_name", "p_brand"], F.expr("case when p_size > 25 then 1 else 0 end")), ["feature"], binning="merge"), "effect")
 
@@ -416,7 +440,21 @@ def vif_part(spark: SparkSession, sf: str) -> DataFrame:
     return _r(spark.createDataFrame(list(found.items()), "`column` string, vif double"), "vif")
 
 
-@query()
+def _det(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} ({v}) * {_det([[*r[:j], *r[j + 1 :]] for r in m[1:]])}" for j, v in enumerate(m[0])) + ")"
+
+
+def _minor(m: list[list[str]], i: int, j: int) -> str:
+    return _det([[v for b, v in enumerate(r) if b != j] for a, r in enumerate(m) if a != i])
+
+
+_VIF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_R4 = [["1" if a == b else f"r{min(a, b)}{max(a, b)}" for b in range(4)] for a in range(4)]
+
+
+@query("with c as (select " + ", ".join(f"corr({_VIF[a]}, {_VIF[b]}) r{a}{b}" for a in range(4) for b in range(a + 1, 4)) + " from lineitem) " + " union all ".join(f"select '{c}' as \"column\", round({_minor(_R4, i, i)} / {_det(_R4)}, 6) vif from c" for i, c in enumerate(_VIF)))
 def vif_lineitem(spark: SparkSession, sf: str) -> DataFrame:
     found = D.vif(_t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return _r(spark.createDataFrame(list(found.items()), "`column` string, vif double"), "vif")
@@ -431,21 +469,18 @@ def bh_fdr_nation(spark: SparkSession, sf: str) -> DataFrame:
     return _r(S.bh_fdr(n), "q", places=9)
 
 
-def _shadow_sql(b: int) -> str:
-    return f"with t as (select p_partkey k, p_retailprice x, case when p_size > 25 then 1 else 0 end y from part), r as (select k, 2 * rank() over (order by x) + count(*) over (partition by x) - 1 r2 from t), m as (select sum(y) m, count(*) n from t), d as (select b, r2, row_number() over (partition by b order by md5(k || '|' || b)) - 1 rn from r, range(1, {b + 1}) s(b)), s as (select b, (sum(r2) / 2.0 - max(m) * (max(m) + 1) / 2.0) / (max(m) * (max(n) - max(m))) a from d, m where rn < m group by b), z as (select cast(b as int) b, greatest(a, 1 - a) auc from s)"
-
-
-@query(_shadow_sql(20) + " select b, round(auc, 6) auc from z")
-def shadow_aucs_part(spark: SparkSession, sf: str) -> DataFrame:
-    return _r(S.shadow_aucs(_t(spark, sf, "part"), "p_retailprice", F.expr("case when p_size > 25 then 1 else 0 end"), "p_partkey", 20), "auc")
+@query("with t as (select p_retailprice x, case when p_size > 25 then 1 else 0 end y from part), m as (select sum(t) v from (select cast(count(*) as double) * count(*) * count(*) - count(*) t from t group by x)), p as (select cast(sum(y) as double) v from t) select 'ties' margin, v, cast(50 as bigint) replicates from m union all select 'positives', v, 50 from p")
+def permutation_margins_part(spark: SparkSession, sf: str) -> DataFrame:
+    """The draws that relevance() makes: each of 50 permutations keeps the rows of every value and class."""
+    long = numeric(_t(spark, sf, "part"), ["p_retailprice"], F.expr("case when p_size > 25 then 1 else 0 end"))
+    each = [S.replicates(long, m, 0, 50, 42, block=300).select(F.lit(m).alias("margin"), F.explode("v").alias("v")) for m in ("ties", "positives")]
+    return each[0].unionByName(each[1]).groupBy("margin", "v").agg(F.count(F.lit(1)).alias("replicates"))
 
 
-@query(_shadow_sql(50) + ", e as (select (sum(r2 * y) / 2.0 - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))) a from r join t using (k)) select round(quantile_cont(auc, cast(0.95 as double)), 6) floor, round((1 + count_if(auc >= greatest(a, 1 - a))) / (count(*) + 1), 6) p from z, e group by a")
+@query()
 def shadow_floor_part(spark: SparkSession, sf: str) -> DataFrame:
-    p, y = _t(spark, sf, "part"), F.expr("case when p_size > 25 then 1 else 0 end")
-    effect = A.auc(numeric(p, ["p_retailprice"], y), ["feature"]).select("effect")
-    drawn = S.shadow_aucs(p, "p_retailprice", y, "p_partkey", 50).crossJoin(F.broadcast(effect))
-    return _r(drawn.agg(F.percentile("auc", 0.95).alias("floor"), ((1 + F.count_if(F.col("auc") >= F.col("effect"))) / (F.count(F.lit(1)) + 1)).alias("p")), "floor", "p")
+    long = numeric(_t(spark, sf, "part"), ["p_retailprice"], F.expr("case when p_size > 25 then 1 else 0 end"))
+    return S.resample(long, {"p_retailprice": "AUC"}, 0).select("feature", F.size("shadow").alias("shadows"), F.array_max("shadow").alias("highest"))
 
 
 @query()
@@ -461,7 +496,10 @@ def _rho(table: str, a: str, b: str) -> str:
     return f"select '{a}' a, '{b}' b, round(abs(corr(x, y)), 6) score from (select 2 * rank() over (order by {a}) + count(*) over (partition by {a}) x, 2 * rank() over (order by {b}) + count(*) over (partition by {b}) y from {table})"
 
 
-@query(" union all ".join([_rho("part", a, b) for a, b in (("p_partkey", "p_retailprice"), ("p_partkey", "p_size"), ("p_retailprice", "p_size"))] + [f"select 'p_brand' a, feature b, round(sqrt(effect), 6) score from ({_eta_sql('part', 'p_brand', c).replace(chr(39) + 'p_brand' + chr(39), chr(39) + c + chr(39), 1).replace('round(', '(').replace(', 6) + 0.0', ')')})" for c in ("p_partkey", "p_retailprice", "p_size")] + [_chi_sql("part", "p_brand", "p_type", _BERGSMA)[:-1].replace("select 'p_brand' feature, cast(n as bigint) n, ", "select 'p_brand' a, 'p_type' b, ").replace("effect from c", "score from c") + ")"] + [f"select feature a, 'p_type' b, round(sqrt(effect), 6) score from ({_eta_sql('part', 'p_type', c).replace(chr(39) + 'p_type' + chr(39), chr(39) + c + chr(39), 1).replace('round(', '(').replace(', 6) + 0.0', ')')})" for c in ("p_partkey", "p_retailprice", "p_size")]))
+_PAIRS = " union all ".join([_rho("part", a, b) for a, b in (("p_partkey", "p_retailprice"), ("p_partkey", "p_size"), ("p_retailprice", "p_size"))] + [f"select 'p_brand' a, feature b, round(sqrt(effect), 6) score from ({_eta_sql('part', 'p_brand', c).replace(chr(39) + 'p_brand' + chr(39), chr(39) + c + chr(39), 1).replace('round(', '(').replace(', 6) + 0.0', ')')})" for c in ("p_partkey", "p_retailprice", "p_size")] + [_chi_sql("part", "p_brand", "p_type", _BERGSMA)[:-1].replace("select 'p_brand' feature, cast(n as bigint) n, ", "select 'p_brand' a, 'p_type' b, ").replace("effect from c", "score from c") + ")"] + [f"select feature a, 'p_type' b, round(sqrt(effect), 6) score from ({_eta_sql('part', 'p_type', c).replace(chr(39) + 'p_type' + chr(39), chr(39) + c + chr(39), 1).replace('round(', '(').replace(', 6) + 0.0', ')')})" for c in ("p_partkey", "p_retailprice", "p_size")])
+
+
+@query(_PAIRS)
 def pairwise_part(spark: SparkSession, sf: str) -> DataFrame:
     return _r(R.pairwise(_t(spark, sf, "part"), {"p_partkey": "count", "p_retailprice": "continuous", "p_size": "count", "p_brand": "nominal", "p_type": "nominal"}), "score")
 
@@ -477,7 +515,10 @@ def redundant_groups_customer(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "representative string, member string")
 
 
-@query()
+_SQUARE = ("p_brand", "p_partkey", "p_retailprice", "p_size", "p_type")
+
+
+@query(f"with p as ({_PAIRS}), b as (select a, b, score from p union all select b, a, score from p union all select distinct a, a, 1.0 from (select a from p union all select b from p)) select a as \"column\", " + ", ".join(f"max(case when b = '{c}' then score end) {c}" for c in _SQUARE) + " from b group by a")
 def similarity_matrix_part(spark: SparkSession, sf: str) -> DataFrame:
     return O.similarity_matrix(pairwise_part(spark, sf))
 
@@ -531,7 +572,10 @@ def adjudicate_signals(spark: SparkSession, sf: str) -> DataFrame:
     return L.adjudicate(spark.createDataFrame([(*r, i) for i, r in enumerate(_SIGNALS)], L.SIGNAL + ", seq int"))
 
 
-@query()
+_NAMES = ("doc_id", "quality", "toxic", "vec_id", "embedding", "label")
+
+
+@query("select 'C' part, c as \"column\", 'target-like-name' detector, 'direct' ltype, lower(c) evidence from (select unnest([" + ", ".join(f"'{c}'" for c in _NAMES) + "]) c) where c <> 'toxic' and regexp_matches(lower(c), '_final|_flag|label|outcome|prediction|proba|score|target')")
 def name_signals_labels(spark: SparkSession, sf: str) -> DataFrame:
     return L.name_signals(spark, [*_t(spark, sf, "labels").columns, *_t(spark, sf, "embeddings").columns], "toxic")
 
@@ -609,9 +653,13 @@ def logrank_parts_customer(spark: SparkSession, sf: str) -> DataFrame:
     return _r(t.groupBy("g").agg(F.sum("d").alias("observed"), F.sum(F.col("da") * F.col("rg") / F.col("ra")).alias("expected")), "expected")
 
 
-@query()
+_V4 = [[f"v{min(a, b)}{max(a, b)}" for b in range(4)] for a in range(4)]
+_X2 = "(" + " + ".join(f"z{i} * z{j} * {'-' if (i + j) % 2 else ''}{_minor(_V4, i, j)}" for i in range(4) for j in range(4)) + f") / {_det(_V4)}"
+
+
+@query(_LIFE + ", w as (select t, cast(e as bigint) e, dense_rank() over (order by g) - 1 k from l), ev as (select distinct t from w where e = 1), r as (select ev.t, " + ", ".join(f"cast(count_if(k = {i}) as double) r{i}, cast(count_if(k = {i} and w.t = ev.t and e = 1) as double) d{i}" for i in range(5)) + " from ev, w where w.t >= ev.t group by ev.t), s as (select *, r0 + r1 + r2 + r3 + r4 ra, d0 + d1 + d2 + d3 + d4 da from r), f as (select *, case when ra > 1 then da * (ra - da) / (ra - 1) else 0 end h from s), m as (select " + ", ".join(f"sum(d{i} - da * r{i} / ra) z{i}" for i in range(4)) + ", " + ", ".join(f"sum(h * (r{i} / ra) * ({int(i == j)} - r{j} / ra)) v{i}{j}" for i in range(4) for j in range(i, 4)) + f" from f), x as (select {_X2} x from m) select round(x, 6) statistic, round(exp(-x / 2) * (1 + x / 2), 6) p from x")
 def logrank_customer(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([V.logrank(_life(spark, sf), "t", "e", "g")], "statistic double, p double")
+    return _r(spark.createDataFrame([V.logrank(_life(spark, sf), "t", "e", "g")], "statistic double, p double"), "statistic", "p")
 
 
 @query()
@@ -626,13 +674,13 @@ def cox_customer(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def crosscheck_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = _t(spark, sf, "orders").withColumn("y", F.expr("case when o_totalprice > 250000 then 1 else 0 end"))
-    found = X.crosscheck(o, ["o_totalprice", "o_custkey", "o_orderpriority"], "y", "binary", rounds=8, trees=10, depth=3)
+    found = X.crosscheck(o, ["o_totalprice", "o_custkey", "o_orderpriority"], "y", "binary")
     return spark.createDataFrame(list(found.items()), "`column` string, status string")
 
 
 @query()
 def relevance_events(spark: SparkSession, sf: str) -> DataFrame:
-    run = open_run(spark, _t(spark, sf, "events").withColumn("y", F.expr("case when event_type = 'purchase' then 1 else 0 end")), tempfile.mkdtemp(), target="y", target_type="binary", row_key="event_id")
+    run = open_run(spark, _t(spark, sf, "events").withColumn("y", F.expr("case when event_type = 'purchase' then 1 else 0 end")), f"{shared_folder(spark)}/runs", target="y", target_type="binary", row_key="event_id")
     run.freeze(E.make_folds(run.df, "stratified", target="y"))
     found = RL.relevance(run, {"value": "continuous", "user_id": "count"})
     rows = [(f, r["metric_name"], r["effect"], r["p"], r["q_value"], r["shadow_floor"]) for f, r in found.items()]
@@ -642,8 +690,19 @@ def relevance_events(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def screen_orders(spark: SparkSession, sf: str) -> DataFrame:
     o = _t(spark, sf, "orders").withColumn("y", F.expr("case when o_totalprice > 250000 then 1 else 0 end")).withColumn("price_score", F.col("o_totalprice") * 2)
-    run = open_run(spark, o, tempfile.mkdtemp(), target="y", target_type="binary", row_key="o_orderkey")
-    return RL.screen(run, "stratified", ci_b=50, shadow_b=25).drop("effect_ci")
+    run = open_run(spark, o, f"{shared_folder(spark)}/runs", target="y", target_type="binary", row_key="o_orderkey")
+    return RL.screen(run, "stratified").drop("effect_ci")
+
+
+@query("select * from (values ('customer_id', 'structural-drop'), ('signal', 'keep'), ('noise', 'drop'), ('region', 'drop'), ('constant', 'structural-drop'), ('leak_score', 'leak-suspect'), ('signal_dup', 'structural-drop')) t(\"column\", verdict)")
+def screen_known_answer(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts A to H over planted columns of orders, whose verdicts are known."""
+    u = lambda k: (F.pmod(F.xxhash64("o_orderkey", F.lit(k)), F.lit(100_003)) / 100_003.0)
+    bell = u(1) + u(2) + u(3) - 1.5
+    y = (u(4) < 0.5).cast("int")
+    o = keep(_t(spark, sf, "orders").select(F.col("o_orderkey").alias("customer_id"), y.alias("churn"), (y + bell).alias("signal"), (u(5) + u(6) + u(7)).alias("noise"), F.substring("o_orderpriority", 1, 1).alias("p"), F.element_at(F.array(*[F.lit(c) for c in "abcd"]), (u(8) * 4).cast("int") + 1).alias("region"), F.lit(7).alias("constant"), y.cast("double").alias("leak_score"), (y + bell).alias("signal_dup")).drop("p"))
+    run = open_run(spark, o, f"{shared_folder(spark)}/runs", target="churn", target_type="binary", row_key="customer_id")
+    return RL.screen(run, "stratified").select("column", "verdict")
 
 
 @query("with q as (select list_sort(list_distinct(quantile_cont(value, " + _TENTHS + "))) q from events), i as (select q[2:len(q) - 1] q from q) select date_trunc('day', cast(ts as timestamp)) start, cast(len(list_filter(q, lambda v: v <= value)) as int) bin, count(*) n from events, i group by 1, 2")

@@ -54,9 +54,12 @@ def normalise(df: DataFrame) -> DataFrame:
 
 
 def with_row_key(df: DataFrame, key: str | None = None, name: str = "row_key") -> DataFrame:
-    """df with a key that doesn't depend on partitioning: the column key if given, else the MD5 of all columns and, for
+    """df with a key that doesn't depend on partitioning: the column key if given (ValueError if it has nulls or a value twice: folds are joined on it), else the MD5 of all columns and, for
     rows that are equal in all of them, a number."""
     if key is not None:
+        bad = df.groupBy(F.col(key)).count().where(F.col("count") > 1).limit(1).count() or df.where(F.col(key).isNull()).limit(1).count()
+        if bad:
+            raise ValueError(f"{key!r} is no row key: it has nulls or a value more than once")
         return df.withColumn(name, F.col(key).cast("string"))
     digest = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
     turn = F.row_number().over(Window.partitionBy("__digest").orderBy(F.lit(1)))

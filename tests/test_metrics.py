@@ -148,16 +148,94 @@ def test_resampling_brackets_the_effect(spark, sample):
 
 def test_table_metrics_equal_the_plans(spark, sample):
     x, y = sample
-    t = pd.crosstab(x, y).to_numpy().astype(float)
+    t = pd.crosstab(x, y).to_numpy()
     xv, yv = np.unique(x), np.array([0.0, 1.0])
     for name, plan, cat in (("AUC", A.auc, False), ("KW ε²", A.kruskal, False), ("IV", I.information_value, True), ("Cramér's V", A.bergsma_v, True), ("Spearman ρ", A.spearman, False), ("point-biserial", A.pearson, False), ("η²", A.eta_squared, True)):
-        assert S.TABLE_METRICS[name](t, xv, yv) == pytest.approx(effect(plan, spark, x, y, cat)), name
-
-
-def test_permuted_tables_keep_margins():
-    t = np.array([[3.0, 5], [2, 0], [7, 1]])
-    for s in S.permutations(t, 5, np.random.default_rng(0)):
-        assert (s.sum(0) == t.sum(0)).all() and (s.sum(1) == t.sum(1)).all() and (s >= 0).all()
+        got = S.of_table(name, t.T, yv, xv) if name in S.TURNED else S.of_table(name, t, xv, yv)
+        assert got == pytest.approx(effect(plan, spark, x, y, cat)), name
+
+
+def test_replicates_of_tables(monkeypatch):
+    """Both ways of drawing a block: margins of permutations, means and variances of both."""
+    t = np.array([[30, 50, 3], [20, 0, 5], [70, 10, 1], [4, 4, 4]])
+    n, rows, cols = t.sum(), t.sum(1), t.sum(0)
+    for limit in (1 << 22, 10):
+        monkeypatch.setattr(S, "ROWS", limit)
+        want = np.tile(cols, (3000, 1))
+        got = np.array(list(S.tables(np.random.default_rng(0), t, want, True)))
+        assert (got.sum(1) == cols).all() and (got.sum(2) == rows).all() and (got >= 0).all()
+        mean = np.outer(rows, cols) / n
+        assert got.mean(0) == pytest.approx(mean, abs=0.3)
+        assert got.var(0) == pytest.approx(mean * (n - rows[:, None]) * (n - cols) / n / (n - 1), rel=0.15)
+        boot = np.array(list(S.tables(np.random.default_rng(1), t, want, False)))
+        assert (boot.sum(1) == cols).all() and boot.mean(0) == pytest.approx(t, abs=0.4) and boot.var(0) == pytest.approx(t * (1 - t / cols), rel=0.15, abs=1e-9)
+
+
+def test_hypergeometric_draws_of_any_size():
+    rng = np.random.default_rng(3)
+    few = S._large(rng, np.full(40_000, 7), np.full(40_000, 30), np.full(40_000, 15))
+    p = np.array([math.comb(7, k) * math.comb(30, 15 - k) / math.comb(37, 15) for k in range(8)])
+    assert np.bincount(few, minlength=8) / 40_000 == pytest.approx(p, abs=0.008)
+    for good, bad, sample in ((6e8, 3e8, 5e8), (8e8, 3e8, 5e8), (9e11, 3e12, 1e12), (50, 4e9, 1e9), (4e9, 50, 3e9), (2e9, 2e9, 6), (3e9, 1e9, 4e9 - 5)):
+        got = S.hypergeometric(rng, np.full(20_000, int(good)), int(bad), int(sample)).astype(float)
+        total = good + bad
+        var = sample * good / total * bad / total * (total - sample) / (total - 1)
+        assert got.mean() == pytest.approx(sample * good / total, abs=4 * (var / 20_000) ** 0.5 + 1e-9) and got.var() == pytest.approx(var, rel=0.06)
+        assert (got >= max(0, sample - bad)).all() and (got <= min(good, sample)).all()
+
+
+def test_permuted_cells_just_below_and_above_a_billion_rows():
+    """The spread of a cell goes on smoothly, and margins hold, on a skewed table too."""
+    for n in (0.9e9, 1.1e9):
+        for t in (np.full((2, 2), int(n / 4)), np.array([[int(n * 0.001), int(n * 0.199)], [int(n * 0.0005), int(n * 0.7995)]])):
+            rows, cols = t.sum(1), t.sum(0)
+            got = np.array(list(S.tables(np.random.default_rng(1), t, np.tile(cols, (1500, 1)), True)))
+            assert (got.sum(1) == cols).all() and (got.sum(2) == rows).all()
+            sd = (rows[0] / n * rows[1] / n * cols[0] * (cols[1] / n) * n / (t.sum() - 1)) ** 0.5
+            assert got[:, 0, 0].std() == pytest.approx(sd, rel=0.07)
+
+
+def test_blocks_don_t_change_the_distribution(spark):
+    """Replicates of all metrics in one block and in many, against row-wise numpy."""
+    rng = np.random.default_rng(12)
+    n = 400
+    x, y = np.round(rng.normal(size=n), 1), (rng.random(n) < 0.4).astype(int)
+    heavy, cat = np.round(np.exp(rng.normal(0, 1.5, n)), 1), rng.integers(0, 4, n)
+    cases = {"AUC": (x, y), "KW ε²": (x, cat), "IV": (np.round(x).astype(int).astype(str), y), "Cramér's V": (np.round(x).astype(int).astype(str), cat), "point-biserial": (y.astype(float), heavy), "η²": (cat.astype(str), heavy), "Cliff's δ": (y.astype(str), heavy), "Spearman ρ": (x, heavy)}
+    plans = {"AUC": A.auc, "KW ε²": A.kruskal, "IV": I.information_value, "Cramér's V": A.bergsma_v, "Spearman ρ": A.spearman}
+    for name, (a, b) in cases.items():
+        df = spark.createDataFrame(pd.DataFrame({"feature": "f", "x": a, "y": b}))
+        (ua, ia), (ub, ib) = (np.unique(v, return_inverse=True) for v in (a, b))
+
+        def metric(i, j, name=name, ua=ua, ub=ub, ia=ia, ib=ib):
+            t = np.zeros((len(ua), len(ub)), int)
+            np.add.at(t, (ia[i], ib[j]), 1)
+            return S.of_table(name, t.T, ub, np.arange(len(ua)) if ua.dtype.kind in "UO" else ua) if name in S.TURNED else S.of_table(name, t, np.arange(len(ua)), ub)
+
+        every = np.arange(n)
+        if name in plans:
+            assert metric(every, every) == pytest.approx(plans[name](df, ["feature"]).first()["effect"])
+        want = np.array([metric(every, rng.permutation(n)) for _ in range(600)])
+        boot = np.array([metric(i, i) for i in (rng.integers(0, n, n) for _ in range(600))])
+        for block in (50_000, 17) if name in ("AUC", "Cramér's V", "η²") else (17,):
+            r = S.resample(df, {"f": name}, 600, 600, block=block).first()
+            shadow = np.array(r["shadow"])
+            spread = want.std() + 1e-9
+            assert abs(shadow.mean() - want.mean()) < 0.25 * spread and shadow.std() == pytest.approx(want.std(), rel=0.2), name
+            for end, q in (("ci_lo", 0.025), ("ci_hi", 0.975)):
+                assert abs(r[end] - np.quantile(boot, q)) < 0.8 * boot.std(), (name, end)
+    df = spark.createDataFrame(pd.DataFrame({"feature": "f", "x": x, "y": y}))
+    again = S.resample(df.repartition(7), {"f": "AUC"}, 20, 20, block=17).first()  # whatever the partitions
+    assert again["shadow"] == S.resample(df, {"f": "AUC"}, 20, 20, block=17).first()["shadow"]
+
+
+def test_a_function_as_metric(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=300)
+    df = spark.createDataFrame(pd.DataFrame({"feature": "f", "x": x, "y": 2 * x + rng.normal(size=300)}))
+    r = S.resample(df, {"f": lambda a, b: abs(np.corrcoef(a, b)[0, 1])}, 100, 50).first()
+    effect = abs(np.corrcoef(*df.toPandas()[["x", "y"]].to_numpy().T)[0, 1])
+    assert r["ci_lo"] < effect < r["ci_hi"] and max(r["shadow"]) < 0.3 and len(r["shadow"]) == 50
 
 
 def test_psi(spark):

@@ -1,6 +1,8 @@
 """Planted columns: profile, values, folds, leaks, run mechanics, and a whole run."""
 
 import json
+import os
+import random
 import math
 
 import numpy as np
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import columns as C
+from sievework.operators import crosscheck as X
 from sievework.operators import folds as E
 from sievework.operators import leakage as L
 from sievework.operators import profile as P
@@ -109,6 +112,40 @@ def test_folds(spark, planted):
     assert sum(r["positives"] for r in E.fold_positives(df, f, "churn", 1, key="customer_id").collect()) == planted["churn"].sum()
 
 
+def test_groups_are_dealt_as_one_by_one(spark):
+    rng = random.Random(5)
+    for sizes in ([100, *[1] * 60], [rng.randrange(1, 30) for _ in range(200)], [7] * 11, [3]):
+        rows = [(f"{g:03d}-{i}", f"g{g:03d}") for g, n in enumerate(sizes) for i in range(n)]
+        f = E.make_folds(spark.createDataFrame(rows, "row_key string, g string"), "grouped", 4, group="g").frame
+        got = sorted(r["n"] for r in f.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect())
+        load = [0] * 4
+        for n in sorted(sizes, reverse=True):
+            load[load.index(min(load))] += n
+        assert got == sorted(v for v in load if v) and f.join(spark.createDataFrame(rows, "row_key string, g string"), "row_key").groupBy("g").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
+
+
+def test_crosscheck(spark):
+    rng = np.random.default_rng(5)
+    cat = rng.integers(0, 3, 400)
+    df = spark.createDataFrame(pd.DataFrame({"catsig": np.array(list("abc"))[cat], "noise": rng.normal(size=400), "y": (rng.random(400) < 0.2 + 0.3 * cat).astype(int)}))
+    got = X.crosscheck(df, ["catsig", "noise"], "y", "binary", rounds=12, trees=30)
+    assert got["catsig"] in ("confirmed", "tentative") and got["noise"] != "confirmed" and X.crosscheck(df, [], "y", "binary") == {}
+
+
+def test_row_keys_must_be_unique(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "k int, y int")
+    for some in (df.where("k is not null"), df.where("y = 1")):
+        with pytest.raises(ValueError, match="row key"):
+            open_run(spark, some, str(tmp_path), row_key="k")
+
+
+def test_expansion_of_dates_and_zeros(spark, tmp_path):
+    df = spark.sql("select id, timestamp'2024-01-01' + make_interval(0, 0, 0, int(id)) at, if(id % 3 = 0, double(id), 0d) amount, int(id % 2) y from range(120)")
+    run = open_run(spark, df, f"file://{tmp_path}", target="y", target_type="binary", row_key="id")
+    cols = RL._expanded(run).columns
+    assert "at" not in cols and "at__month" in cols and "amount__zero" in cols
+
+
 def test_guard(spark, planted, tmp_path):
     run = open_run(spark, spark.createDataFrame(planted), str(tmp_path), target="churn", target_type="binary", row_key="customer_id")
     with pytest.raises(GateFailure):
@@ -157,7 +194,7 @@ def test_checkpoint_and_resume(spark, planted, tmp_path):
     assert back.df.where("constant is not null").count() == 0 and back.frame == run.frame and back.folds.k == 5
     assert back.ledger.get("constant")["reason"] == "constant" and len(back.leaks) == 1 and "> two" in back.report.text()
     back.report.add("A", body="anew")
-    assert "hello" not in back.report.text() and back.report.export_html().exists()
+    assert "hello" not in back.report.text() and os.path.exists(back.report.export_html())
     assert run.manifest()["seed"] == 42 and run.log(str(tmp_path / "log.jsonl"))["rules"] == {"constant": 1}
     assert spark.read.parquet(run.save_ledger()).count() == spark.read.option("header", True).csv(run.save_ledger("l.csv")).count() == 1
     with pytest.raises(FileNotFoundError):
@@ -215,8 +252,8 @@ def test_relevance_of_other_targets(spark, planted, tmp_path):
     run.freeze(E.make_folds(run.df, "plain", 3))
     got = RL.relevance(run, {"signal": "continuous"}, shadow_b=10)["signal"]
     assert got["metric_name"] == "C-index" and got["effect"] > got["shadow_floor"]
-    with pytest.raises(TypeError):
-        RL.relevance(run, {"region": "nominal"})
+    got = RL.relevance(run, {"region": "nominal", "signal": "continuous"}, shadow_b=5)
+    assert got["region"]["metric_name"] == "log-rank" and 0 <= got["region"]["p"] <= 1 and got["signal"]["metric_name"] == "C-index"
 
 
 def test_small_sample_is_flagged(spark, tmp_path):
