@@ -10,16 +10,21 @@ its count, so every context leaves some mass. alpha gives the words not stored a
 (1 - sum of the stored P) / (1 - sum of the next lower P of the same words). As the unknown word is after no context, no context has all
 words, and the probabilities after each sum to 1. A document is BOS, BOS, its words, EOS. No word is left out of the model.
 
-Counting and scoring move packed blocks. A chunk of documents is written once, as its distinct words and the sequence of their numbers. It gives one row for
-each bucket of n-grams of orders 1 to 3: their 64-bit keys, sorted and delta-coded in byte planes, with their numbers. A bucket sums them over the chunks, writes its
-part of the model and answers each chunk with counts in the same order; the chunk then evaluates the recursion for its tokens.
+The rows of the model itself have all their n-grams in it, so none of their tokens backs off. The query therefore scores each document twice: under the model of all
+documents, and under that of the half of them (dealt by doc_id) that it isn't in, where the recursion goes down to pairs, words and the unknown word.
+
+Counting and scoring move packed blocks. A chunk of documents of one half (side) is written once, as its distinct words and the sequence of their numbers. It gives one row for
+each bucket of n-grams of orders 1 to 3: their 64-bit keys, sorted and delta-coded in byte planes, with their numbers. A bucket sums them over the chunks of each side and
+answers each chunk with counts in the same order; the chunk then evaluates the recursion for its tokens.
 Keys of n-grams of frequent words are the numbers of the words side by side, which compresses well; all others are hashes. Which words are frequent doesn't change
-the result. Only their table, of at most FREQUENT rows, is broadcast; everything that grows with the corpus is shuffled. Backoff weights are computed for the
-contexts from which some scored token backs off, from the model's n-grams after them.
+the result. Only their table, of at most FREQUENT rows, is broadcast; everything that grows with the corpus is shuffled. For backoff weights, the first chunk of a side that has an
+n-gram sends its count and that of its next lower order to the bucket of its context. That bucket sums them and answers the chunks in which some token backs off from the context.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,40 +128,52 @@ def frequent(sc: Scratch, src: DataFrame, limit: int = FREQUENT) -> Frequent:
     return Frequent(h[order], np.cumsum(np.concatenate([[0, 2 * docs, docs], n[order]])), max(1, -(-(total + docs) // BUCKET)))
 
 
-def _chunks(shared, train: bool):
-    """Rows (chunk, train, docs, words, codes, seq): doc_ids, their numbers of words, the codes of the distinct words and the words as places in codes."""
+CHUNKS = "chunk long, side int, ndocs long, docs binary, words binary, codes binary, seq binary"
+
+
+def _chunks(shared, side: int | None):
+    """Rows of CHUNKS: doc_ids, their numbers of words, the codes of the distinct words and the words as places in codes. A chunk is of one side; without side,
+    documents are dealt to two by doc_id."""
 
-    def flush(number, ids, counts, hashes):
+    def flush(number, at, ids, counts, hashes):
         h, seq = np.unique(np.concatenate(hashes), return_inverse=True)
         codes = shared.value.codes(h)
         order = np.argsort(codes)
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        row = (number, train, pack(np.concatenate(ids)), pack(np.concatenate(counts).astype(np.uint32)), pack_sorted(codes[order]), pack(place[seq]))
-        kinds = (pa.int64(), pa.bool_(), *[pa.binary()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["chunk", "train", "docs", "words", "codes", "seq"])
+        ids = np.concatenate(ids)
+        row = (number, at, len(ids), pack(ids), pack(np.concatenate(counts).astype(np.uint32)), pack_sorted(codes[order]), pack(place[seq]))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["chunk", "side", "ndocs", "docs", "words", "codes", "seq"])
 
     def run(batches):
-        number = (TaskContext.get().partitionId() << 32) + (not train)
-        ids, counts, hashes, size = [], [], [], 0
+        first = TaskContext.get().partitionId() << 32
+        held = {k: [first + k, [], [], [], 0] for k in ((0, 1) if side is None else (side,))}
         for b in slices(batches, "text"):
             buf = buffer_of(col(b, "text"))
             w = words_of(buf)
-            has = w.count > 0
-            if not has.any():
-                continue
-            ids.append(ints(b, "_id")[has]), counts.append(w.count[has]), hashes.append(w.hash)
-            size += len(buf.data) + 16 * b.num_rows
-            if size > CHUNK:
-                yield flush(number, ids, counts, hashes)
-                number += 2
-                ids, counts, hashes, size = [], [], [], 0
-        if hashes:
-            yield flush(number, ids, counts, hashes)
+            ids = ints(b, "_id")
+            of = side_of(ids) if side is None else np.full(len(ids), side)
+            for k, h in held.items():
+                has = (w.count > 0) & (of == k)
+                if not has.any():
+                    continue
+                h[1].append(ids[has]), h[2].append(w.count[has]), h[3].append(w.hash[np.repeat(has, w.count)])
+                h[4] += int(np.diff(buf.at)[has].sum()) + 16 * int(has.sum())
+                if h[4] > CHUNK:
+                    yield flush(h[0], k, *h[1:4])
+                    held[k] = [h[0] + 2, [], [], [], 0]
+        for k, h in held.items():
+            if h[3]:
+                yield flush(h[0], k, *h[1:4])
 
     return run
 
 
+def side_of(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> U64(63)).astype(np.int64)
+
+
 def _key(*codes: np.ndarray) -> np.ndarray:
     out, mixed, rare = codes[0], codes[0], codes[0] >= RARE
     for c in codes[1:]:
@@ -221,7 +238,7 @@ class Chunk:
 
 
 def _asked(shared):
-    """Rows (chunk, ngram, bucket, train, keys, sums): a chunk's n-grams of a bucket and how often it has each."""
+    """Rows (chunk, ngram, bucket, side, keys, sums): a chunk's n-grams of a bucket and how often it has each."""
 
     def run(batches):
         for b in batches:
@@ -230,38 +247,57 @@ def _asked(shared):
                 for n, g in c.grams.items():
                     sums = np.bincount(g.of, minlength=len(g.key)).astype(np.uint32)
                     for bucket, at in zip(g.bucket, np.split(g.order, g.cut[1:]), strict=True):
-                        rows.append((r["chunk"], n, bucket, r["train"], pack_sorted(g.key[at]), pack(sums[at])))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "ngram", "bucket", "train", "keys", "sums"])
+                        rows.append((r["chunk"], n, bucket, r["side"], pack_sorted(g.key[at]), pack(sums[at])))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["chunk", "ngram", "bucket", "side", "keys", "sums"])
                 del c, rows
         release()
 
     return run
 
 
-COUNTED = "chunk long, ngram int, bucket long, counts binary, keys binary, moments array<long>, part string"
+COUNTED = "chunk long, ngram int, bucket long, counts array<binary>, moments array<long>, part string"
+WHOLE = 2  # the model of both sides; those of one side go by its number
 
 
 def _sum_bucket(table: pa.Table) -> pa.Table:
-    """Of a bucket: its part of the model, the distinct n-grams with their counts (part 'model', with the counts of counts and the sum), and the
-    counts of each chunk's n-grams (part 'answer')."""
+    """Of a bucket: the counts of counts and the sum of each model (part 'model'); for each chunk and its n-grams, the counts of both sides and whether it is the
+    first chunk of its side to have them (part 'answer')."""
     rows = table.to_pylist()
     keys = [unpack_sorted(r["keys"]) for r in rows]
+    size = [len(k) for k in keys]
+    cut = np.cumsum(size)[:-1]
     every, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, np.concatenate([unpack(r["sums"], np.uint32) * np.uint32(r["train"]) for r in rows]), len(every)).astype(np.int64)
-    answer = total[back]
-    cut = np.cumsum([len(k) for k in keys])
+    sums, side = np.concatenate([unpack(r["sums"], np.uint32) for r in rows]), np.repeat([r["side"] for r in rows], size)
+    total, owned = [], np.zeros(len(back), bool)
+    for k in (0, 1):
+        total.append(np.bincount(back, sums * (side == k), len(every)).astype(np.int64))
+        mine, first = np.flatnonzero(side == k)[::-1], np.full(len(every), -1)
+        first[back[mine]] = mine
+        owned[first[first >= 0]] = True
     n, bucket = rows[0]["ngram"], rows[0]["bucket"]
-    out = [(r["chunk"], n, bucket, pack(a), b"", None, "answer") for r, a in zip(rows, np.split(answer, cut[:-1]), strict=True)]
-    has = total > 0
-    moments = [*np.bincount(np.minimum(total, GT_MAX + 2), minlength=GT_MAX + 2)[: GT_MAX + 2].tolist(), int(total.sum())]
-    out.append((0, n, bucket, pack(total[has]), pack_sorted(every[has]), moments, "model"))
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.string())
-    found = pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "ngram", "bucket", "counts", "keys", "moments", "part"])
+    parts = [np.split(x, cut) for x in (total[0][back], total[1][back], owned.view(np.uint8))]
+    out = [(r["chunk"], n, bucket, [pack(x) for x in p], None, "answer") for r, *p in zip(rows, *parts, strict=True)]
+    moments = []
+    for t in (*total, total[0] + total[1]):
+        moments += [0, *np.bincount(np.minimum(t, GT_MAX + 2), minlength=GT_MAX + 2)[1 : GT_MAX + 2].tolist(), int(t.sum())]
+    out.append((0, n, bucket, None, moments, "model"))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.string())
+    found = pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "ngram", "bucket", "counts", "moments", "part"])
     release()
     return found
 
 
+def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk with its answers, for each order one block of each kind."""
+    answers = sorted(right.to_pylist(), key=lambda r: (r["ngram"], r["bucket"]))
+    blocks = []
+    for n in ORDERS:
+        mine = [r["counts"] for r in answers if r["ngram"] == n]
+        blocks += [pack(np.concatenate([unpack(c[k], kind) for c in mine])) for k, kind in enumerate((np.int64, np.int64, np.uint8))]
+    return left.append_column("counts", pa.array([blocks] * left.num_rows, pa.list_(pa.binary())))
+
+
 def discounts(coc: np.ndarray, rest: float) -> np.ndarray:
     """d_0..d_GT_MAX of the counts of counts coc. rest for r = 0, which stands for all r above, and where they don't give a value in (0, 1)."""
     d = np.full(GT_MAX + 1, rest)
@@ -296,21 +332,13 @@ def model_of(moments: dict[int, np.ndarray], docs: int, least: int) -> Model:
 
 
 class Scores:
-    """The recursion over the tokens of a chunk."""
-
-    def __init__(self, m: Model, voc: Frequent, row: dict, answers: list[dict], eos: int):
-        c = self.chunk = Chunk(voc, row)
-        self.model, self.count = m, {}
-        for n, g in c.grams.items():
-            found = np.zeros(len(g.key), np.int64)
-            mine = {r["bucket"]: r["counts"] for r in answers if r["ngram"] == n}
-            if len(g.order):
-                found[g.order] = np.concatenate([unpack(mine[b], np.int64) for b in g.bucket.tolist()])
-            self.count[n] = found
-        c1, c2 = self.count[1][c.grams[1].of], self.count[2][c.grams[2].of]
-        docs = eos
-        self.total = {3: np.where(c.start, docs, np.append(self.count[2], docs)[c.before]), 2: np.where(c.start, docs, np.concatenate([c1[:1], c1[:-1]]))}
-        self.r = {3: self.count[3][c.grams[3].of], 2: c2, 1: c1}
+    """The recursion over the tokens of a chunk, under one model."""
+
+    def __init__(self, m: Model, c: Chunk, count: dict[int, np.ndarray]):
+        self.chunk, self.model, self.count = c, m, count
+        c1, c2 = count[1][c.grams[1].of], count[2][c.grams[2].of]
+        self.total = {3: np.where(c.start, m.docs, np.append(count[2], m.docs)[c.before]), 2: np.where(c.start, m.docs, np.concatenate([c1[:1], c1[:-1]]))}
+        self.r = {3: count[3][c.grams[3].of], 2: c2, 1: c1}
         self.seen = {n: self.r[n] >= m.least for n in (3, 2)}
 
     def share(self, n: int) -> np.ndarray:
@@ -323,108 +351,227 @@ class Scores:
         return np.where(self.r[1] > 0, self.share(1), self.model.unknown)
 
     def contexts(self, n: int) -> np.ndarray:
-        return (self.chunk.context[self.chunk.before] if n == 3 else self.chunk.codes[self.chunk.v]).view(np.int64)
+        return self.chunk.context[self.chunk.before] if n == 3 else self.chunk.codes[self.chunk.v]
 
     def open(self, n: int) -> np.ndarray:
         """Tokens for which alpha of order n counts."""
         return ~self.seen[3] & ((n == 3) | ~self.seen[2]) & (self.total[n] > 0)
 
-    def log_p(self, alphas: list[dict]) -> np.ndarray:
-        p = self.unigram()
+    def wanted(self, n: int, buckets: int) -> tuple[np.ndarray, ...]:
+        """The contexts whose alpha of order n counts, by bucket and context; where buckets begin; the buckets; of each open token, the place of its context."""
+        key, of = np.unique(self.contexts(n)[self.open(n)], return_inverse=True)
+        order, cut, bucket = by_bucket(key, buckets)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return key[order], cut, bucket, place[of]
+
+    def log_p(self, alphas: list[dict], buckets: int) -> np.ndarray:
+        p = np.log(np.where(self.seen[3], self.share(3), np.where(self.seen[2], self.share(2), self.unigram())))
         for n in (2, 3):
-            alpha = np.ones(len(p))
-            mine = [(r["context"], r["alpha"]) for r in alphas if r["ngram"] == n]
-            if mine:
-                known, value = np.array([k for k, _ in mine], np.int64), np.array([a for _, a in mine])
-                order = np.argsort(known)
-                known, value = known[order], value[order]
-                asked = self.contexts(n)
-                at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                alpha = np.where((known[at] == asked) & (self.total[n] > 0), value[at], 1.0)
-            p = np.where(self.seen[n], self.share(n), alpha * p)
-        return np.log(p)
+            key, _, bucket, place = self.wanted(n, buckets)
+            if len(key):
+                mine = {r["bucket"]: r["alpha"] for r in alphas if r["ngram"] == n}
+                p[self.open(n)] += np.log(np.concatenate([unpack(mine[b], np.float64) for b in bucket.tolist()]))[place]
+        return p
 
 
-SCORED = "doc_id long, tokens long, log_prob double, perplexity double, backed_off long"
+def by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Order of sorted contexts by bucket, where buckets begin in it, and which they are."""
+    b = np.minimum((mix(key) / 2.0**64 * buckets).astype(np.int64), buckets - 1)
+    order = np.argsort(b, kind="stable")
+    run = b[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1]) if len(run) else np.zeros(0, np.int64)
+    return order, cut, run[cut]
 
 
-def _each(model, voc, docs: int, give):
-    """A function of (chunk row, its answers and weights) for cogrouped maps."""
+@dataclass
+class Plan:
+    """What each side is scored under, and which sides are models that others back off in."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.to_pylist()
-        out = [give(r["chunk"], Scores(model.value, voc.value, r, [a for a in rows if a["counts"] is not None], docs), [a for a in rows if a["alpha"] is not None]) for r in left.to_pylist()]
+    under: dict[int, int]
+    taught: tuple[int, ...]
+    both: bool = False  # scored under the whole model, too
+
+
+class Known:
+    """A chunk with the counts of its n-grams."""
+
+    def __init__(self, models: dict[int, Model], voc: Frequent, row: dict):
+        self.models, self.chunk, self.side, self.number = models, Chunk(voc, row), row["side"], row["chunk"]
+        self.counts, self.owned = {}, {}
+        for i, (n, g) in enumerate(self.chunk.grams.items()):
+            a, b, own = (self._placed(g, unpack(x, kind)) for x, kind in zip(row["counts"][3 * i : 3 * i + 3], (np.int64, np.int64, np.uint8), strict=True))
+            self.counts[n], self.owned[n] = (a, b, a + b), own > 0
+
+    @staticmethod
+    def _placed(g: Grams, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(g.key), x.dtype)
+        out[g.order] = x
+        return out
+
+    def scores(self, k: int) -> Scores:
+        return Scores(self.models[k], self.chunk, {n: c[k] for n, c in self.counts.items()})
+
+
+WEIGHED = "chunk long, model int, ngram int, bucket long, contexts binary, sizes binary, r binary, low binary, below binary"
+
+
+def _weighed(models, voc, plan: Plan):
+    """Rows of WEIGHED: the contexts whose alpha a chunk asks for, by bucket; those of the n-grams that it is the first to have, with the number of these, the
+    counts of these and of their next lower order, and what the next lower order divides by."""
+
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                k, out, buckets = Known(models.value, voc.value, row), [], voc.value.buckets
+                if k.side in plan.under:
+                    s = k.scores(plan.under[k.side])
+                    for n in (2, 3):
+                        key, cut, bucket, _ = s.wanted(n, buckets)
+                        for at, x in zip(bucket.tolist(), np.split(key, cut[1:]), strict=len(key) > 0):
+                            out.append((k.number, plan.under[k.side], n, at, pack_sorted(x), None, None, None, None))
+                    del s
+                if k.side in plan.taught:
+                    s = k.scores(k.side)
+                    for n in (2, 3):
+                        g = k.chunk.grams[n]
+                        token = g.token[k.owned[n]]
+                        key, first, size = np.unique(s.contexts(n)[token], return_inverse=True, return_counts=True)
+                        order, cut, bucket = by_bucket(key, buckets)
+                        place = np.empty(len(order), np.int64)
+                        place[order] = np.arange(len(order))
+                        grams = np.argsort(place[first], kind="stable")
+                        token = token[grams]
+                        size = size[order]
+                        begin = np.cumsum(size) - size
+                        r, low = s.r[n][token].astype(np.uint32), s.r[n - 1][token].astype(np.uint32)
+                        below = (s.total[2][token[begin]] if n == 3 else np.full(len(begin), s.model.tokens)).astype(np.int64)
+                        at = begin[cut[1:]]
+                        for place_of, *x in zip(bucket.tolist(), *[np.split(v, c) for v, c in ((key[order], cut[1:]), (size.astype(np.uint32), cut[1:]), (r, at), (low, at), (below, cut[1:]))], strict=len(key) > 0):
+                            out.append((k.number, k.side, n, place_of, pack_sorted(x[0]), *map(pack, x[1:])))
+                    del s
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                del k
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "model", "ngram", "bucket", "contexts", "sizes", "r", "low", "below"])
+        release()
+
+    return run
+
+
+ALPHAS = "chunk long, ngram int, bucket long, alpha binary"
+
+
+def _weights(models):
+    """Of a bucket of contexts: alpha of those that each chunk asks for, in its order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        m, n = models.value[rows[0]["model"]], rows[0]["ngram"]
+        asked, told = [r for r in rows if r["sizes"] is None], [r for r in rows if r["sizes"] is not None]
+        empty = [np.zeros(0, np.int64)]
+        key, back = np.unique(np.concatenate([unpack_sorted(r["contexts"]) for r in told] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        of = np.repeat(back, np.concatenate([unpack(r["sizes"], np.uint32) for r in told] or empty))
+        r, low = (np.concatenate([unpack(x[c], np.uint32) for x in told] or empty).astype(np.int64) for c in ("r", "low"))
+        below = np.ones(len(key))
+        below[back] = np.concatenate([unpack(x["below"], np.int64) for x in told] or empty)
+        kept = lambda n, x: m.d[n][np.where(x <= GT_MAX, x, 0)] * x * (r >= m.least)
+        total, high, lower = (np.bincount(of, x, len(key)) for x in (r, kept(n, r), kept(n - 1, low)))
+        alpha = np.append(np.maximum(1 - high / np.maximum(total, 1), 0) / (1 - lower / below), 1.0)
+        out = []
+        for x in asked:
+            k = unpack_sorted(x["contexts"])
+            at = np.searchsorted(key, k)
+            if len(key):
+                at = np.where(key[np.minimum(at, len(key) - 1)] == k, at, len(key))
+            out.append((x["chunk"], n, x["bucket"], pack(alpha[at])))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+        found = pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["chunk", "ngram", "bucket", "alpha"])
         release()
-        return pa.concat_tables(out)
+        return found
 
     return run
 
 
-def _give_scores(chunk: int, s: Scores, alphas: list[dict]) -> pa.Table:
-    c = s.chunk
-    total, n = np.add.reduceat(s.log_p(alphas), c.first), c.n
-    back = np.add.reduceat((~s.seen[3]).astype(np.int64), c.first)
-    return pa.Table.from_arrays([pa.array(c.ids), pa.array(n), pa.array(total), pa.array(np.exp(-total / n)), pa.array(back)], ["doc_id", "tokens", "log_prob", "perplexity", "backed_off"])
+SCORED = "doc_id long, tokens long, log_prob double, perplexity double, backed_off long"
+HELD = ", held_log_prob double, held_perplexity double, held_backed_off long"
+
 
+def _scores(models, voc, plan: Plan):
+    """A function of (joined chunk, its alphas) for cogrouped maps."""
 
-def _give_open(chunk: int, s: Scores, _) -> pa.Table:
-    found = [np.unique(s.contexts(n)[s.open(n)]) for n in (2, 3)]
-    n = np.repeat(np.array([2, 3], np.int32), [len(f) for f in found])
-    return pa.Table.from_arrays([pa.array(np.full(len(n), chunk)), pa.array(n), pa.array(np.concatenate(found))], ["chunk", "ngram", "context"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        alphas, tables = right.to_pylist(), []
+        for row in left.to_pylist():
+            k = Known(models.value, voc.value, row)
+            c, cols = k.chunk, {"doc_id": pa.array(k.chunk.ids), "tokens": pa.array(k.chunk.n)}
+            for prefix, model in [("", WHOLE)] * plan.both + [("held_" * plan.both, plan.under[k.side])]:
+                s = k.scores(model)
+                total = np.add.reduceat(s.log_p(alphas if model != WHOLE else [], voc.value.buckets), c.first)
+                cols |= {f"{prefix}log_prob": pa.array(total), f"{prefix}perplexity": pa.array(np.exp(-total / c.n)), f"{prefix}backed_off": pa.array(np.add.reduceat((~s.seen[3]).astype(np.int64), c.first))}
+                del s
+            tables.append(pa.table(cols))
+        release()
+        return pa.concat_tables(tables)
+
+    return run
 
 
-def _give_after(chunk: int, s: Scores, _) -> pa.Table:
-    """The stored n-grams of a chunk: context, key, share by this order and by the next lower."""
-    parts = []
-    for n in (2, 3):
-        g = s.chunk.grams[n]
-        at = g.token[s.count[n] >= s.model.least]
-        lower = s.unigram() if n == 2 else s.share(2)
-        parts.append(pa.Table.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(s.contexts(n)[at]), pa.array(g.key[g.of[at]].view(np.int64)), pa.array(s.share(n)[at]), pa.array(lower[at])], ["ngram", "context", "key", "high", "low"]))
-    return pa.concat_tables(parts)
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Each shuffle's files go when the query that made them ends, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
-def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None, least: int = 1, limit: int = FREQUENT) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None, least: int = 1, limit: int = FREQUENT, held: bool = False) -> DataFrame:
     """(doc_id, tokens, log_prob, perplexity, backed_off) of each row of docs that has a word and a doc_id.
 
     The model is counted over train, by default the same rows; pairs and triples that it has less than least times are left to backing off. tokens counts the words and
     EOS, log_prob is the natural logarithm, backed_off the tokens that no trigram gave: 0 for the rows of the model itself with
-    least = 1. Texts without words (null, empty) and rows with a null doc_id are neither counted nor scored. Repeated rows are counted and scored each. Very long texts are
-    whole; the longest makes a chunk by itself and must fit in a task. Only doc_id and text are read. An empty table gives an empty result, an empty train the
+    least = 1. held, without train: also held_log_prob, held_perplexity, held_backed_off, under the model of the half of the documents (by doc_id) that doesn't have
+    the row. Texts without words (null, empty) and rows with a null doc_id are neither counted nor scored. Repeated rows are counted and scored each. Very long texts are
+    whole; the longest makes a chunk by itself and must fit in a task. Only doc_id and text are read. An empty table gives an empty result, an empty train or other half the
     probability 1 to the unknown word."""
+    if held and (train is not None or least > 1):
+        raise ValueError("held is for the rows of the model themselves, with least = 1")
     one = lambda df: df.select(F.col("doc_id").cast("long").alias("_id"), df["text"].alias("text")).where("_id is not null and text is not null")
     src = one(docs if train is None else train)
     ctx = spark.sparkContext
-    with Scratch(spark) as sc:
-        voc = frequent(sc, src, limit)
-        shared, tasks = ctx.broadcast(voc), max(voc.buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        layout = "chunk long, train boolean, docs binary, words binary, codes binary, seq binary"
-        chunks = src.mapInArrow(_chunks(shared, True), layout)
-        if train is not None:
-            chunks = chunks.unionByName(one(docs).mapInArrow(_chunks(shared, False), layout))
-        chunks = sc.table(chunks)
-        asked = chunks.mapInArrow(_asked(shared), "chunk long, ngram int, bucket long, train boolean, keys binary, sums binary")
-        counted = sc.table(asked.repartition(tasks, "ngram", "bucket").groupBy("ngram", "bucket").applyInArrow(_sum_bucket, COUNTED), "part")
-        moments = {}
-        for r in counted.where("part = 'model'").groupBy("ngram").agg(*[F.sum(F.col("moments")[i]).alias(f"m{i}") for i in range(GT_MAX + 3)]).collect():
-            moments[r["ngram"]] = np.array([r[f"m{i}"] for i in range(GT_MAX + 3)], float)
-        docs_n = int(voc.ends[EOS] - voc.ends[BOS])
-        model = ctx.broadcast(model_of(moments, docs_n, least))
-        answers = counted.where("part = 'answer'").select("chunk", "ngram", "bucket", "counts", F.lit(None).cast("long").alias("context"), F.lit(None).cast("double").alias("alpha"))
-        per = lambda some, right, give, kind: some.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(_each(model, shared, docs_n, give), kind)
-        scored = chunks if train is None else chunks.where("not train")
-        if train is None and least <= 1:  # every n-gram is in the model
-            return sc.result(per(scored, answers, _give_scores, SCORED))
-        of_scored = answers if train is None else answers.join(scored.select("chunk"), "chunk", "left_semi")
-        open_ = sc.table(per(scored, of_scored, _give_open, "chunk long, ngram int, context long"))
-        wanted = open_.select("ngram", "context").distinct()
-        taught = chunks.where("train")
-        of_taught = answers.join(taught.select("chunk"), "chunk", "left_semi")
-        after = per(taught, of_taught, _give_after, "ngram int, context long, key long, high double, low double").join(wanted, ["ngram", "context"], "left_semi")
-        sums = after.groupBy("ngram", "context", "key").agg(F.first("high").alias("high"), F.first("low").alias("low")).groupBy("ngram", "context").agg((1 - F.sum("high")).alias("h"), (1 - F.sum("low")).alias("l"))
-        alpha = open_.join(sums, ["ngram", "context"]).select("chunk", "ngram", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "context", (F.greatest("h", F.lit(0.0)) / F.col("l")).alias("alpha"))
-        return sc.result(per(scored, of_scored.unionByName(alpha), _give_scores, SCORED))
+    plan = Plan({0: 1, 1: 0}, (0, 1), True) if held else Plan({0: 0}, (0,)) if train is None else Plan({1: 0}, (0,))
+    with Scratch(spark) as sc, _shuffles_removed(spark):
+        with Scratch(spark) as first:
+            voc = frequent(first, src, limit)
+            shared, tasks = ctx.broadcast(voc), max(voc.buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            chunks = src.mapInArrow(_chunks(shared, None if held else 0), CHUNKS)
+            if train is not None:
+                chunks = chunks.unionByName(one(docs).mapInArrow(_chunks(shared, 1), CHUNKS))
+            chunks = first.table(chunks)
+            asked = chunks.mapInArrow(_asked(shared), "chunk long, ngram int, bucket long, side int, keys binary, sums binary")
+            counted = first.table(asked.repartition(tasks, "ngram", "bucket").groupBy("ngram", "bucket").applyInArrow(_sum_bucket, COUNTED), "part")
+            size = GT_MAX + 3
+            moments = {k: {} for k in (0, 1, WHOLE)}
+            for r in counted.where("part = 'model'").groupBy("ngram").agg(*[F.sum(F.col("moments")[i]).alias(f"m{i}") for i in range(3 * size)]).collect():
+                for k, of in moments.items():
+                    of[r["ngram"]] = np.array([r[f"m{k * size + i}"] for i in range(size)], float)
+            n = {r["side"]: r["n"] for r in chunks.groupBy("side").agg(F.sum("ndocs").alias("n")).collect()}
+            n[WHOLE] = sum(n.values())
+            models = ctx.broadcast({k: model_of(moments[k], n.get(k, 0), least) for k in moments})
+            answers = counted.where("part = 'answer'").select("chunk", "ngram", "bucket", "counts")
+            joined = sc.table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_joined, f"{CHUNKS}, counts array<binary>"))
+        if train is None and least <= 1 and not held:  # every n-gram is in the model
+            alphas = spark.createDataFrame([], ALPHAS)
+        else:
+            weighed = joined.mapInArrow(_weighed(models, shared, plan), WEIGHED)
+            alphas = sc.table(weighed.repartition(tasks, "model", "ngram", "bucket").groupBy("model", "ngram", "bucket").applyInArrow(_weights(models), ALPHAS))
+        scored = joined if train is None else joined.where("side = 1")
+        return sc.result(scored.groupBy("chunk").cogroup(alphas.groupBy("chunk")).applyInArrow(_scores(models, shared, plan), SCORED + HELD * held))
 
 
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark, read(spark, sf_dir, "documents"))
+    return score(spark, read(spark, sf_dir, "documents"), held=True)

@@ -2,10 +2,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from llm_helpers import prose, table
 
-from sievework.llm.katz import FREQUENT, op8_katz_backoff, score
+from sievework.llm.katz import FREQUENT, op8_katz_backoff, score, side_of
 
 WORD = re.compile(r"(?:[a-z0-9]|[^\x00-\x7f])+")
 
@@ -106,3 +107,30 @@ def test_edges(spark, edge, empty):
     assert got.loc[got["doc_id"] == 4, "tokens"].item() == 120_001
     assert score(spark, empty).count() == 0 and score(spark, empty, edge).count() == 0
     assert score(spark, edge, empty).toPandas()["log_prob"].eq(0).all()
+
+
+@pytest.mark.parametrize("limit", [FREQUENT, 40])
+def test_held_scores_back_off_in_the_model_of_the_other_half(spark, limit):
+    data = [*rows(), *[(200 + i, prose(50 + i // 2, 60)) for i in range(40)], (300, "twice"), (300, "twice")]
+    side = dict(zip([d for d, _ in data], side_of(np.array([d for d, _ in data])).tolist(), strict=False))
+    got = score(spark, table(spark, data).repartition(5), limit=limit, held=True).withColumnsRenamed({c: f"own_{c}" for c in ("log_prob", "perplexity", "backed_off")})
+    got = got.withColumnsRenamed({f"held_{c}": c for c in ("log_prob", "perplexity", "backed_off")})
+    assert got.where("doc_id = 300").count() == 2
+    for k in (0, 1):
+        own, other = ([(d, t) for d, t in data if (side[d] == k) == mine] for mine in (True, False))
+        m = Brute([t for _, t in other], 1)
+        check(got.where(got["doc_id"].isin([d for d, _ in own])), m, own)
+        words = [[tuple(w[i - 2 : i + 1]) for i in range(2, len(w))] for _, t in own if (w := cut(t))]
+        deep = [sum(not m.grams[n][g[3 - n :]] and m.before[n][g[3 - n : -1]] > 0 for d in words for g in d) for n in (2, 3)]
+        assert min(deep) > 20  # both weights were asked for
+
+
+def test_the_query_backs_off(spark, edge, empty, tmp_path):
+    table(spark, rows()).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op8_katz_backoff(spark, str(tmp_path)).toPandas()
+    assert (got["held_backed_off"] > 0).any() and (got["backed_off"] == 0).all()
+    held = score(spark, edge, held=True).toPandas()
+    assert sorted(held["doc_id"]) == [3, 3, 4, 6, 7, 8, 10] and held["held_log_prob"].notna().all() and (held["held_log_prob"] <= 0).all()
+    assert score(spark, empty, held=True).count() == 0
+    with pytest.raises(ValueError):
+        score(spark, edge, least=2, held=True)
