@@ -207,26 +207,39 @@ class Chunk:
         x, inner = np.ones(total, np.int64), np.ones(total, bool)
         inner[self.first + self.n - 1] = False
         x[inner] = seq.astype(np.int64) + 2
+        del inner, seq
         v = np.concatenate([x[:1], x[:-1]])
         v[self.first] = 0
         self.start = np.zeros(total, bool)
         self.start[self.first] = True
-        self.x, self.v = x, v
+        self.v = v.astype(np.uint32)
+        self.codes = codes
         k = len(codes)
-        pair, at2, of2 = np.unique(v * k + x, return_index=True, return_inverse=True)
-        before = np.concatenate([of2[:1], of2[:-1]])
+        one, at, of = np.unique(x, return_index=True, return_inverse=True)
+        self.grams = {1: self._of(voc, codes[one], codes[one], of, at)}
+        v *= k
+        v += x
+        pair, at, of = np.unique(v, return_index=True, return_inverse=True)
+        del v
+        before = np.concatenate([of[:1], of[:-1]])
         before[self.first] = len(pair)  # BOS, BOS
-        self.before = before
-        triple, at3, of3 = np.unique(before * k + x, return_index=True, return_inverse=True)
+        self.before = before.astype(np.uint32)
         v2, x2 = codes[pair // k], codes[pair % k]
-        key2 = _key(v2, x2)
-        self.context = np.append(key2, _key(np.array([BOS], np.uint64), np.array([BOS], np.uint64)))  # of orders 3
-        self.codes = codes
+        key = _key(v2, x2)
+        self.context = np.append(key, _key(np.array([BOS], np.uint64), np.array([BOS], np.uint64)))  # of orders 3
+        self.grams[2] = self._of(voc, v2, key, of, at)
+        del pair, at, of, key
+        before *= k
+        before += x
+        del x
+        triple, at, of = np.unique(before, return_index=True, return_inverse=True)
+        del before
+        of, at = of.astype(np.uint32), at.astype(np.uint32)
         ctx = triple // k
         u3, v3 = np.append(v2, U64(BOS))[ctx], np.append(x2, U64(BOS))[ctx]
-        key3 = _key(u3, v3, codes[triple % k])
-        one, at1, of1 = np.unique(x, return_index=True, return_inverse=True)
-        self.grams = {n: self._of(voc, *g) for n, g in {1: (codes[one], codes[one], of1, at1), 2: (v2, key2, of2, at2), 3: (u3, key3, of3, at3)}.items()}
+        key = _key(u3, v3, codes[triple % k])
+        del triple, ctx, v2, x2, v3
+        self.grams[3] = self._of(voc, u3, key, of, at)
 
     @staticmethod
     def _of(voc: Frequent, first: np.ndarray, key: np.ndarray, of: np.ndarray, token: np.ndarray) -> Grams:
@@ -234,7 +247,7 @@ class Chunk:
         order = np.lexsort((key, b))
         run = b[order]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1]) if len(run) else np.zeros(0, np.int64)
-        return Grams(key, of, token, order, cut, run[cut])
+        return Grams(key, of.astype(np.uint32), token.astype(np.uint32), order.astype(np.uint32), cut, run[cut])
 
 
 def _asked(shared):
@@ -260,6 +273,28 @@ COUNTED = "chunk long, ngram int, bucket long, counts array<binary>, moments arr
 WHOLE = 2  # the model of both sides; those of one side go by its number
 
 
+def _each(fn):
+    """fn of a group; memory is released when what fn held is gone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        release()
+        return out
+
+    return run
+
+
+def _pair(fn):
+    """The same of cogrouped tables."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        release()
+        return out
+
+    return run
+
+
 def _sum_bucket(table: pa.Table) -> pa.Table:
     """Of a bucket: the counts of counts and the sum of each model (part 'model'); for each chunk and its n-grams, the counts of both sides and whether it is the
     first chunk of its side to have them (part 'answer')."""
@@ -283,9 +318,7 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
         moments += [0, *np.bincount(np.minimum(t, GT_MAX + 2), minlength=GT_MAX + 2)[1 : GT_MAX + 2].tolist(), int(t.sum())]
     out.append((0, n, bucket, None, moments, "model"))
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.string())
-    found = pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "ngram", "bucket", "counts", "moments", "part"])
-    release()
-    return found
+    return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "ngram", "bucket", "counts", "moments", "part"])
 
 
 def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -401,7 +434,7 @@ class Known:
         self.counts, self.owned = {}, {}
         for i, (n, g) in enumerate(self.chunk.grams.items()):
             a, b, own = (self._placed(g, unpack(x, kind)) for x, kind in zip(row["counts"][3 * i : 3 * i + 3], (np.int64, np.int64, np.uint8), strict=True))
-            self.counts[n], self.owned[n] = (a, b, a + b), own > 0
+            self.counts[n], self.owned[n] = (a, b), own > 0
 
     @staticmethod
     def _placed(g: Grams, x: np.ndarray) -> np.ndarray:
@@ -410,7 +443,7 @@ class Known:
         return out
 
     def scores(self, k: int) -> Scores:
-        return Scores(self.models[k], self.chunk, {n: c[k] for n, c in self.counts.items()})
+        return Scores(self.models[k], self.chunk, {n: c[0] + c[1] if k == WHOLE else c[k] for n, c in self.counts.items()})
 
 
 WEIGHED = "chunk long, model int, ngram int, bucket long, contexts binary, sizes binary, r binary, low binary, below binary"
@@ -420,41 +453,45 @@ def _weighed(models, voc, plan: Plan):
     """Rows of WEIGHED: the contexts whose alpha a chunk asks for, by bucket; those of the n-grams that it is the first to have, with the number of these, the
     counts of these and of their next lower order, and what the next lower order divides by."""
 
+    def asked(k: Known, buckets: int):
+        model = plan.under[k.side]
+        s = k.scores(model)
+        for n in (2, 3):
+            key, cut, bucket, _ = s.wanted(n, buckets)
+            for at, x in zip(bucket.tolist(), np.split(key, cut[1:]), strict=len(key) > 0):
+                yield k.number, model, n, at, pack_sorted(x), None, None, None, None
+
+    def told(k: Known, buckets: int):
+        s = k.scores(k.side)
+        for n in (2, 3):
+            token = k.chunk.grams[n].token[k.owned[n]]
+            key, of, size = np.unique(s.contexts(n)[token], return_inverse=True, return_counts=True)
+            order, cut, bucket = by_bucket(key, buckets)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            token = token[np.argsort(place[of], kind="stable")]
+            key, size = key[order], size[order].astype(np.uint32)
+            begin = np.cumsum(size, dtype=np.int64) - size
+            r, low = s.r[n][token].astype(np.uint32), s.r[n - 1][token].astype(np.uint32)
+            below = (s.total[2][token[begin]] if n == 3 else np.full(len(begin), s.model.tokens)).astype(np.int64)
+            at = begin[cut[1:]]
+            del of, order, place, token, begin
+            cuts = (cut[1:], cut[1:], at, at, cut[1:])
+            for b, x, *rest in zip(bucket.tolist(), *(np.split(v, c) for v, c in zip((key, size, r, low, below), cuts, strict=True)), strict=len(key) > 0):
+                yield k.number, k.side, n, b, pack_sorted(x), *map(pack, rest)
+
+    def each(row: dict) -> list[tuple]:
+        k, buckets = Known(models.value, voc.value, row), voc.value.buckets
+        return [*(asked(k, buckets) if k.side in plan.under else ()), *(told(k, buckets) if k.side in plan.taught else ())]
+
     def run(batches):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
         for b in batches:
             for row in b.to_pylist():
-                k, out, buckets = Known(models.value, voc.value, row), [], voc.value.buckets
-                if k.side in plan.under:
-                    s = k.scores(plan.under[k.side])
-                    for n in (2, 3):
-                        key, cut, bucket, _ = s.wanted(n, buckets)
-                        for at, x in zip(bucket.tolist(), np.split(key, cut[1:]), strict=len(key) > 0):
-                            out.append((k.number, plan.under[k.side], n, at, pack_sorted(x), None, None, None, None))
-                    del s
-                if k.side in plan.taught:
-                    s = k.scores(k.side)
-                    for n in (2, 3):
-                        g = k.chunk.grams[n]
-                        token = g.token[k.owned[n]]
-                        key, first, size = np.unique(s.contexts(n)[token], return_inverse=True, return_counts=True)
-                        order, cut, bucket = by_bucket(key, buckets)
-                        place = np.empty(len(order), np.int64)
-                        place[order] = np.arange(len(order))
-                        grams = np.argsort(place[first], kind="stable")
-                        token = token[grams]
-                        size = size[order]
-                        begin = np.cumsum(size) - size
-                        r, low = s.r[n][token].astype(np.uint32), s.r[n - 1][token].astype(np.uint32)
-                        below = (s.total[2][token[begin]] if n == 3 else np.full(len(begin), s.model.tokens)).astype(np.int64)
-                        at = begin[cut[1:]]
-                        for place_of, *x in zip(bucket.tolist(), *[np.split(v, c) for v, c in ((key[order], cut[1:]), (size.astype(np.uint32), cut[1:]), (r, at), (low, at), (below, cut[1:]))], strict=len(key) > 0):
-                            out.append((k.number, k.side, n, place_of, pack_sorted(x[0]), *map(pack, x[1:])))
-                    del s
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
-                del k
-                if out:
+                if out := each(row):
                     yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "model", "ngram", "bucket", "contexts", "sizes", "r", "low", "below"])
-        release()
+                del row, out
+                release()
 
     return run
 
@@ -486,9 +523,7 @@ def _weights(models):
                 at = np.where(key[np.minimum(at, len(key) - 1)] == k, at, len(key))
             out.append((x["chunk"], n, x["bucket"], pack(alpha[at])))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-        found = pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["chunk", "ngram", "bucket", "alpha"])
-        release()
-        return found
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["chunk", "ngram", "bucket", "alpha"])
 
     return run
 
@@ -511,7 +546,7 @@ def _scores(models, voc, plan: Plan):
                 cols |= {f"{prefix}log_prob": pa.array(total), f"{prefix}perplexity": pa.array(np.exp(-total / c.n)), f"{prefix}backed_off": pa.array(np.add.reduceat((~s.seen[3]).astype(np.int64), c.first))}
                 del s
             tables.append(pa.table(cols))
-        release()
+            del k, c
         return pa.concat_tables(tables)
 
     return run
@@ -553,7 +588,7 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
                 chunks = chunks.unionByName(one(docs).mapInArrow(_chunks(shared, 1), CHUNKS))
             chunks = first.table(chunks)
             asked = chunks.mapInArrow(_asked(shared), "chunk long, ngram int, bucket long, side int, keys binary, sums binary")
-            counted = first.table(asked.repartition(tasks, "ngram", "bucket").groupBy("ngram", "bucket").applyInArrow(_sum_bucket, COUNTED), "part")
+            counted = first.table(asked.repartition(tasks, "ngram", "bucket").groupBy("ngram", "bucket").applyInArrow(_each(_sum_bucket), COUNTED), "part")
             size = GT_MAX + 3
             moments = {k: {} for k in (0, 1, WHOLE)}
             for r in counted.where("part = 'model'").groupBy("ngram").agg(*[F.sum(F.col("moments")[i]).alias(f"m{i}") for i in range(3 * size)]).collect():
@@ -563,14 +598,14 @@ def score(spark: SparkSession, docs: DataFrame, train: DataFrame | None = None,
             n[WHOLE] = sum(n.values())
             models = ctx.broadcast({k: model_of(moments[k], n.get(k, 0), least) for k in moments})
             answers = counted.where("part = 'answer'").select("chunk", "ngram", "bucket", "counts")
-            joined = sc.table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_joined, f"{CHUNKS}, counts array<binary>"))
+            joined = sc.table(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_pair(_joined), f"{CHUNKS}, counts array<binary>"))
         if train is None and least <= 1 and not held:  # every n-gram is in the model
             alphas = spark.createDataFrame([], ALPHAS)
         else:
             weighed = joined.mapInArrow(_weighed(models, shared, plan), WEIGHED)
-            alphas = sc.table(weighed.repartition(tasks, "model", "ngram", "bucket").groupBy("model", "ngram", "bucket").applyInArrow(_weights(models), ALPHAS))
+            alphas = sc.table(weighed.repartition(tasks, "model", "ngram", "bucket").groupBy("model", "ngram", "bucket").applyInArrow(_each(_weights(models)), ALPHAS))
         scored = joined if train is None else joined.where("side = 1")
-        return sc.result(scored.groupBy("chunk").cogroup(alphas.groupBy("chunk")).applyInArrow(_scores(models, shared, plan), SCORED + HELD * held))
+        return sc.result(scored.groupBy("chunk").cogroup(alphas.groupBy("chunk")).applyInArrow(_pair(_scores(models, shared, plan)), SCORED + HELD * held))
 
 
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -134,3 +135,14 @@ def test_the_query_backs_off(spark, edge, empty, tmp_path):
     assert score(spark, empty, held=True).count() == 0
     with pytest.raises(ValueError):
         score(spark, edge, least=2, held=True)
+
+
+def test_no_shuffle_file_outlives_its_query(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for f in disk.getAllFiles().mkString("\n").split("\n") if (n := f.rpartition("/")[2]).startswith("shuffle_")}
+    before, docs = files(), table(spark, rows()).repartition(3)
+    score(spark, docs)
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.5)
+    assert not left
