@@ -293,3 +293,36 @@ def test_stream_of_drift(spark, tmp_path):
     q.awaitTermination(120)
     got = {str(r["start"])[:10]: r["psi"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got["2024-01-01"] < 0.1 < 0.25 < got["2024-01-02"]
+
+
+def test_forest_of_the_crosscheck_counts_rows_in_numpy_blocks(spark, monkeypatch):
+    """Splits of all trees are those of a plain search over the same drawn rows, in any number of blocks."""
+    monkeypatch.setattr(X, "LEAST", 100)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (2, 350)).astype(float)
+    y = (rng.random(350) < 0.2 + 0.1 * x[0]).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"label": y, "x0": x[0], "x1": x[1]}))
+    blocks = X._blocks(df, ["x0", "x1"], 1, 100)
+    got = X._importances(blocks, 4, [0, 1], [0, 1], [3], 4, 1, 2, 0.5, 1)[3]
+    want, columns, labels, weights = np.zeros(4), [], [], []
+    for r in blocks.orderBy("block").collect():
+        bins = np.frombuffer(r["x"], np.uint8).reshape(2, -1)
+        g = np.random.default_rng([1, 3, 0, r["block"]])
+        columns.append(np.vstack([bins, *[bins[i][g.permutation(bins.shape[1])][None] for i in (0, 1)]]))
+        labels.append(np.frombuffer(r["y"]))
+        weights.append(np.stack([X._weights([1, 3, 2, t, r["block"]], bins.shape[1]) for t in range(4)]))
+    c, label, w = np.concatenate(columns, 1), np.concatenate(labels), np.concatenate(weights, 1)
+    gini = lambda v, on: (n := v[on].sum()) and n * (1 - sum((v[on & (label == k)].sum() / n) ** 2 for k in (0, 1)))
+    for t, subset in enumerate(X._subsets([1, 3, 1, 0, 0], 4, 1, 4)[:, 0]):
+        gains = {(f, cut): gini(w[t].astype(float), np.ones(350, bool)) - gini(w[t].astype(float), c[f] <= cut) - gini(w[t].astype(float), c[f] > cut) for f in subset for cut in range(5)}
+        want[max(gains, key=gains.get)[0]] += 1
+    assert len(label) == 350 and blocks.count() == 4 and np.allclose(got, want)
+
+
+def test_crosscheck_of_numbers_and_many_classes(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=600)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "noise": rng.normal(size=600), "y": x + rng.normal(size=600), "c": [f"{v:02d}" for v in np.clip(x * 6 + 12, 0, 24).astype(int)]}))
+    for y, kind in (("y", "regression"), ("c", "multiclass")):
+        got = X.crosscheck(df, ["x", "noise"], y, kind, rounds=7, trees=10)
+        assert got["x"] == "confirmed" and got["noise"] != "confirmed"
