@@ -29,6 +29,7 @@ from .ranking import cumulative, row_numbers
 
 BLOCK = 50_000  # distinct items of a block
 ROWS = 1 << 22  # up to so many rows of a block are drawn one by one, more by splitting counts: the same distribution
+EACH = 8, 8  # the same bound for each item of the block, for a bootstrap and for a permutation (and class but one): beyond it splitting is quicker
 #: Both sides of Spearman's coefficient have many values. Over (GRID, CLASSES) of them, the replicates use ranks of quantile bins, whose variance is less by 1 / GRID**2 and
 #: 1 / CLASSES**2 of the whole at most, so a replicate is off by less than 2e-5.
 GRID, CLASSES = 1024, 256
@@ -146,13 +147,13 @@ def tables(rng: np.random.Generator, t: np.ndarray, classes: np.ndarray, permute
     rows = t.sum(1)
     if not permute:
         size = t.sum(0)
-        place = [np.repeat(np.arange(items), t[:, c]) if size[c] <= ROWS else None for c in range(k)]
+        place = [np.repeat(np.arange(items), t[:, c]) if size[c] <= min(ROWS, EACH[0] * items) else None for c in range(k)]
         for want in classes:
             out = np.zeros((items, k))
             for c in np.flatnonzero(want):
                 out[:, c] = np.bincount(place[c][rng.integers(0, size[c], want[c])], minlength=items) if place[c] is not None else rng.multinomial(want[c], t[:, c] / size[c])
             yield out
-    elif rows.sum() <= ROWS:
+    elif rows.sum() <= min(ROWS, EACH[1] * items * max(k - 1, 1)):
         place = np.repeat(np.arange(items), rows) * k
         for want in classes:
             yield np.bincount(place + rng.permutation(np.repeat(np.arange(k), want)), minlength=items * k).reshape(items, k).astype(float)
@@ -317,6 +318,13 @@ def _name(seed: int, feature: str) -> list[int]:
     return [seed, zlib.crc32(feature.encode())]
 
 
+def _spread(blocks: int, parts: int, cores: int) -> tuple[int, int]:
+    """Into how many units the replicates of a block are dealt, and the number of tasks. Few blocks are drawn by more tasks than blocks. The tasks are heavy for their
+    bytes, so their number is named: it isn't coalesced."""
+    share = max(1, min(parts, -(-4 * cores // max(blocks, 1))))
+    return share, max(1, min(blocks * share, max(4 * cores, blocks * share // 4)))
+
+
 def replicates(long: DataFrame, metric: str, ci_b: int, shadow_b: int, seed: int, folds: Folds | None = None, block: int = BLOCK) -> DataFrame:
     """(feature, kind, part, v): the metric of PART replicates, of bootstraps (kind 0) and permutations (kind 1), for all features of a metric."""
     block = GRID if metric == "Spearman ρ" else block  # its table is one block
@@ -346,6 +354,12 @@ def replicates(long: DataFrame, metric: str, ci_b: int, shadow_b: int, seed: int
     numeric = dict(c.dtypes)["item"] == "double"
     centre = {r["feature"]: r["m"] for r in c.groupBy("feature").agg((F.sum(F.col("item") * F.col("n")) / F.sum("n")).alias("m")).collect()} if numeric else {}
     shared = spark.sparkContext.broadcast((at, centre, train))
+    parts = [(kind, i) for kind, b in enumerate((ci_b, shadow_b)) for i in range(0, b, PART)]
+    share, tasks = _spread(sum(size.values()), len(parts), spark.sparkContext.defaultParallelism)
+    before = {f: sum(v for g, v in size.items() if g < f) for f in size}
+    serial = spark.createDataFrame(list(before.items()), "feature string, first long")
+    units = placed.join(F.broadcast(serial), "feature").withColumn("unit", F.explode(F.array([F.lit(i) for i in range(share)])))
+    units = units.withColumn("task", (((F.col("first") + F.col("block")) * share + F.col("unit")) % tasks).cast("int")).drop("first")
 
     def draw(g: pa.Table) -> pa.Table:
         at, centre, train = shared.value
@@ -356,14 +370,15 @@ def replicates(long: DataFrame, metric: str, ci_b: int, shadow_b: int, seed: int
         flat = per.flatten()
         t[np.repeat(np.arange(g.num_rows), per.value_lengths().to_numpy()), flat.field("k").to_numpy()] = flat.field("n").to_numpy()
         v = g["item"].to_numpy() - centre[feature] if numeric else np.zeros(g.num_rows)
-        rows = []
-        for kind, b in enumerate((ci_b, shadow_b)):
-            if not b:
-                continue
+        rows, unit = [], g["unit"][0].as_py()
+        want: dict[int, np.ndarray] = {}
+        for kind, i in parts[unit::share]:
             name = [*_name(seed, feature), kind]
-            want = classes_of_block(at[feature], number, b, bool(kind), name)
-            made = np.array([METRICS[metric][0](s, v, train) for s in tables(np.random.default_rng([*name, 1 << 31, number]), t, want, bool(kind))])
-            rows += [(feature, kind, i, number, made[i : i + PART].tobytes()) for i in range(0, b, PART)]
+            if kind not in want:
+                want[kind] = classes_of_block(at[feature], number, (ci_b, shadow_b)[kind], bool(kind), name)
+            rng = np.random.default_rng([*name, 1 << 31, number, i])
+            made = np.array([METRICS[metric][0](s, v, train) for s in tables(rng, t, want[kind][i : i + PART], bool(kind))])
+            rows.append((feature, kind, i, number, made.tobytes()))
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
         return pa.Table.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["feature", "kind", "part", "block", "m"])
 
@@ -377,7 +392,7 @@ def replicates(long: DataFrame, metric: str, ci_b: int, shadow_b: int, seed: int
 
     if not ci_b and not shadow_b:
         return spark.createDataFrame([], "feature string, kind int, part int, v array<double>")
-    drawn = placed.groupBy("feature", "block").applyInArrow(draw, "feature string, kind int, part int, block long, m binary")
+    drawn = units.repartitionById(tasks, F.col("task")).groupBy("task", "feature", "block", "unit").applyInArrow(draw, "feature string, kind int, part int, block long, m binary")
     return drawn.groupBy("feature", "kind", "part").applyInArrow(close, "feature string, kind int, part int, v array<double>")
 
 

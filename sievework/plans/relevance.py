@@ -23,6 +23,7 @@ from ..operators import resampling as S
 from ..operators import survival as V
 from ..operators.longform import categorical, numeric
 from ..operators.report import rank_within_type
+from ..sources.scratch import keep
 from .run import Run, target_column
 
 NUMERIC = ("continuous", "count")
@@ -106,7 +107,7 @@ def relevance(run: Run, features: dict[str, str], ci_b=200, shadow_b=50) -> dict
 
 def _association(run, rows, folds, m, fs, kinds, ttype, y, ci_b, shadow_b) -> dict[str, dict]:
     build = numeric if m.numeric else categorical
-    long = build(rows, fs, y, ["__fold"])
+    long = keep(build(rows, fs, y, ["__fold"]))  # read eight times
     screened = long.where(folds.is_screened(F.col("__fold"))).drop("__fold")
     effects = {r["feature"]: r.asDict() for r in m.plan(screened, ["feature"]).collect()}
     tested = long.where(F.col("__fold") > 0).withColumnRenamed("__fold", "fold")
@@ -138,7 +139,8 @@ def _out_of_fold(run, rows, folds, fs, ttype, y, shadow_b) -> dict[str, dict]:
     binary target on counts (see resampling), for a number inside blocks of rows that a hash of the row key chooses."""
     binary = ttype == "binary"
     plan = I.iv_oof if binary else I.target_eta_oof
-    long = categorical(rows, fs, y, ["__fold", "row_key"], nulls=not binary).withColumnRenamed("__fold", "fold")
+    long = categorical(rows, fs, y, ["__fold", "row_key"], nulls=not binary)
+    long = keep(long.withColumnRenamed("__fold", "fold"))
     effects = {r["feature"]: r.asDict() for r in plan(long, ["feature"], folds).collect()}
     shadows: dict[str, list] = {f: [] for f in fs}
     if shadow_b and binary:

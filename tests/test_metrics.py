@@ -294,3 +294,27 @@ def test_binary_target(spark):
     assert [r[0] for r in df.select(P.binary01(df, "t")).collect()] == [0, 1, None]
     with pytest.raises(ValueError, match="3 classes"):
         P.binary01(frame(spark, t=["a", "b", "c"]), "t")
+
+
+def test_draws_of_few_items_do_not_go_row_by_row():
+    t = np.array([[300_000, 100_000], [200_000, 200_000], [1, 0]])
+
+    class Counts:
+        """A generator that can't shuffle or draw rows."""
+
+        def __init__(self, seed):
+            rng = np.random.default_rng(seed)
+            self.hypergeometric, self.multinomial = rng.hypergeometric, rng.multinomial
+
+    want = np.tile(t.sum(0), (200, 1))
+    dealt = np.array(list(S.tables(Counts(1), t, want, True)))
+    assert (dealt.sum(1) == t.sum(0)).all() and (dealt.sum(2) == t.sum(1)).all()
+    n, k, good = t.sum(), t.sum(1)[0], t.sum(0)[1]
+    sd = (k * good / n * (1 - good / n) * (n - k) / (n - 1)) ** 0.5
+    assert abs(dealt[:, 0, 1].mean() - k * good / n) < 4 * sd / 200**0.5 and 0.8 < dealt[:, 0, 1].std() / sd < 1.2
+    drawn = np.array(list(S.tables(Counts(2), t, want, False)))
+    assert (drawn.sum(1) == t.sum(0)).all() and 0.8 < drawn[:, 0, 0].std() / (500_001 * 0.6 * 0.4) ** 0.5 < 1.2
+
+
+def test_few_blocks_are_drawn_by_many_tasks():
+    assert S._spread(2, 17, 8) == (16, 32) and S._spread(1, 4, 8) == (4, 4) and S._spread(1000, 17, 8) == (1, 250) and S._spread(0, 17, 8) == (17, 1)
